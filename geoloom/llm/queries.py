@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, html_extract, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL}
