@@ -110,8 +110,9 @@ def packed(
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for at in range(0, len(ids), 256):
-                for doc, text in zip(ids[at : at + 256], batch.column("text").slice(at, 256).to_pylist(), strict=True):
-                    items.extend((doc, *p) for p in pieces_of(vocabulary.ids(text) + end, limit))
+                texts = batch.column("text").slice(at, 256).to_pylist()
+                for doc, found in zip(ids[at : at + 256], vocabulary.ids_of(texts), strict=True):
+                    items.extend((doc, *p) for p in pieces_of(found + end, limit))
                 if len(items) >= local:
                     yield from close()
         yield from close()

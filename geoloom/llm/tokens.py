@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import cache
 
-import numpy as np
+_TAIL = b".,;:!?"
 
 
 @cache
@@ -18,10 +19,11 @@ class WordBpe:
 
     The vocabulary drops white space before it splits a text, so a text's ids are those of its words in a row. Words
     repeat, so their ids are looked up; the table of words is emptied when it holds ``most`` of them, which bounds memory
-    without a change to the result.
+    without a change to the result. It also splits letters from punctuation, so a word's closing punctuation is looked up
+    by itself; and it lower-cases, so texts in ASCII alone are lower-cased before they are looked up.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -31,13 +33,33 @@ class WordBpe:
         self.known: dict[bytes, bytes] = {}
 
     def ids(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "replace").split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of some texts; a call looks unknown words up together, so pass a few hundred texts at a time."""
+        split = []
+        for text in texts:
+            data = (text or "").encode("utf-8", "replace")
+            split.append((data.lower() if data.isascii() else data).split())
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = words
+        self._learn(new)
+        look = self.known.__getitem__
+        return [b"".join(map(look, s)) for s in split]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, stem_of = self.known, {}
+        for w in new:
+            stem = w.rstrip(_TAIL)
+            if len(stem) < len(w) and stem and stem[-1] < 128 and chr(stem[-1]).isalnum():
+                stem_of[w] = stem
+        whole = (new - stem_of.keys()) | set(stem_of.values()) | {w[len(s) :] for w, s in stem_of.items()}
+        whole = [w for w in whole if w not in known]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
+        for w, e in zip(whole, found, strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        for w, s in stem_of.items():
+            known[w] = known[s] + known[w[len(s) :]]
