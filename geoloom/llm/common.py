@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of the text contracts, as a Java and Python regular expression class body.
 SPACE = r"\x20\x09-\x0D"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +37,12 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        before = self.spark.conf.get(_CLEAN)
+        self.spark.conf.set(_CLEAN, "true")  # what was shuffled for a written table isn't needed again
+        try:
+            df.write.mode("overwrite").parquet(at)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:

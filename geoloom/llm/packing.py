@@ -123,7 +123,7 @@ def packed(
 
         return merge
 
-    start = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    start = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     now = work.table(start.mapInArrow(first, _BIN), "round0")
     done = now.where("settled")
     parts, k = (now.agg(F.max("part")).first()[0] or 0) + 1, 0

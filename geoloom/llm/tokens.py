@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from array import array
 from functools import cache
 
@@ -20,7 +22,8 @@ class WordBpe:
     The vocabulary drops white space before it splits a text, so a text's ids are those of its words in a row. Words
     repeat, so their ids are looked up; the table of words is emptied when it holds ``most`` of them, which bounds memory
     without a change to the result. It also splits letters from punctuation, so a word's closing punctuation is looked up
-    by itself; and it lower-cases, so texts in ASCII alone are lower-cased before they are looked up.
+    by itself; and it lower-cases, so texts in ASCII alone are lower-cased before they are looked up. A new word of
+    letters alone goes to the bare model, in the vocabulary's byte alphabet, past the steps that would leave it as it is.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -29,18 +32,17 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.most = most
         self.known: dict[bytes, bytes] = {}
 
-    def ids(self, text: str | None) -> bytes:
-        return self.ids_of([text])[0]
+    def ids(self, text: str) -> bytes:
+        return self.ids_of([text.encode("utf-8", "replace")])[0]
 
-    def ids_of(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of some texts; a call looks unknown words up together, so pass a few hundred texts at a time."""
-        split = []
-        for text in texts:
-            data = (text or "").encode("utf-8", "replace")
-            split.append((data.lower() if data.isascii() else data).split())
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of some texts in UTF-8; unknown words are looked up together, so pass a few hundred texts at a time."""
+        split = [(t.lower() if t.isascii() else t).split() for t in texts]
         words = set().union(*split)
         new = words.difference(self.known)
         if len(self.known) + len(new) > self.most:
@@ -57,9 +59,37 @@ class WordBpe:
             if len(stem) < len(w) and stem and stem[-1] < 128 and chr(stem[-1]).isalnum():
                 stem_of[w] = stem
         whole = (new - stem_of.keys()) | set(stem_of.values()) | {w[len(s) :] for w, s in stem_of.items()}
-        whole = [w for w in whole if w not in known]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
-        for w, e in zip(whole, found, strict=True):
+        plain, other = {}, []
+        for w in whole:
+            if w not in known:
+                letters = _plain(w)
+                if letters:
+                    plain[w] = letters
+                else:
+                    other.append(w)
+        found = self.bare.encode_batch_fast(list(plain.values()), add_special_tokens=False)
+        found += self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+        for w, e in zip([*plain, *other], found, strict=True):
             known[w] = array("I", e.ids).tobytes()
         for w, s in stem_of.items():
             known[w] = known[s] + known[w[len(s) :]]
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
+def _plain(word: bytes) -> str | None:
+    """The word lower-cased in the byte alphabet, if it is of letters alone that the vocabulary's steps treat alike."""
+    if word.isascii():
+        return word.decode().lower() if word.isalpha() else None
+    text = word.decode("utf-8", "replace")
+    if not text.isalpha() or "\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+        return None
+    return text.lower().encode().decode("latin-1").translate(_ALPHABET)
