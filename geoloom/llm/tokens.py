@@ -26,7 +26,7 @@ class WordBpe:
     letters alone goes to the bare model, in the vocabulary's byte alphabet, past the steps that would leave it as it is.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,36 +43,46 @@ class WordBpe:
     def ids_of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of some texts in UTF-8; unknown words are looked up together, so pass a few hundred texts at a time."""
         split = [(t.lower() if t.isascii() else t).split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = words
-        self._learn(new)
-        look = self.known.__getitem__
-        return [b"".join(map(look, s)) for s in split]
+        look = self.known.get
+        found = [list(map(look, words)) for words in split]
+        open_texts = [(words, ids) for words, ids in zip(split, found, strict=True) if None in ids]
+        if open_texts:
+            new = {w for words, ids in open_texts for w, i in zip(words, ids, strict=True) if i is None}
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+            self._learn(new)
+            for words, ids in open_texts:
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    ids[at] = look(words[at])
+        return [b"".join(ids) for ids in found]
 
     def _learn(self, new: set[bytes]) -> None:
-        known, stem_of = self.known, {}
+        known = self.known
+        ending, plain, other = [], {}, []
         for w in new:
-            stem = w.rstrip(_TAIL)
-            if len(stem) < len(w) and stem and stem[-1] < 128 and chr(stem[-1]).isalnum():
-                stem_of[w] = stem
-        whole = (new - stem_of.keys()) | set(stem_of.values()) | {w[len(s) :] for w, s in stem_of.items()}
-        plain, other = {}, []
-        for w in whole:
-            if w not in known:
-                letters = _plain(w)
-                if letters:
-                    plain[w] = letters
-                else:
-                    other.append(w)
+            if w.isalpha():
+                plain[w] = w.lower().decode()
+            elif w[-1] in _TAIL and (stem := w.rstrip(_TAIL)) and stem[-1] < 128 and stem[-1:].isalnum():
+                ending.append((w, stem))
+            else:
+                other.append(w)
+        rest = {part for w, stem in ending for part in (stem, w[len(stem) :])}
+        other += [w for w in rest if w not in known and w not in plain and w not in new]
+        hard = []
+        for w in other:
+            letters = _plain(w)
+            if letters:
+                plain[w] = letters
+            else:
+                hard.append(w)
         found = self.bare.encode_batch_fast(list(plain.values()), add_special_tokens=False)
-        found += self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-        for w, e in zip([*plain, *other], found, strict=True):
+        found += self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in hard], add_special_tokens=False)
+        for w, e in zip([*plain, *hard], found, strict=True):
             known[w] = array("I", e.ids).tobytes()
-        for w, s in stem_of.items():
-            known[w] = known[s] + known[w[len(s) :]]
+        for w, stem in ending:
+            known[w] = known[stem] + known[w[len(stem) :]]
 
 
 def _byte_alphabet() -> dict[int, str]:
