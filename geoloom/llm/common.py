@@ -66,3 +66,15 @@ def need(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def small_side(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A written table, marked for broadcast if its files hold at most ``most`` bytes; else left to a shuffled join."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    size = 0
+    for name in df.inputFiles():
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        size += at.getFileSystem(conf).getFileStatus(at).getLen()
+        if size > most:
+            return df
+    return F.broadcast(df)

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, need
+from .common import Scratch, need, small_side
 from .components import connected_components
 
 
@@ -20,41 +20,50 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(3), F.col("norm"))})
 
 
+#: Lines of up to LONG shingles have a signature over all of them, lines from SHORT on one over a sample; where both
+#: hold a line has both, so that any two lines whose sizes allow a similarity of 0.8 share a kind.
+SHORT, LONG = 76, 120
+
+
 def _signatures(lines: DataFrame, width: int, rows: int, bands: int, one_in: int, seed: int) -> DataFrame:
-    """One row per distinct line: h1, h2, smallest doc, number of occurrences, and a key for each band.
+    """One row per distinct line and kind of signature: h1, h2, smallest doc, number of occurrences, a key per band.
 
     A line's shingles are exploded and folded into the minima before anything is shuffled, all in generated code, and
     copies of a line meet in the same partial rows. The j-th permutation orders the 64-bit shingle hashes by their
-    exclusive or with a random number. Only shingles whose hash is a multiple of ``one_in``, and each line's first, go
-    into the minima: the same ones in every line, so the minima agree as often as over all shingles.
+    exclusive or with a random number. The sample is of the shingles whose hash is a multiple of ``one_in``: the same
+    ones in every line, so minima agree as often as over all shingles.
     """
     draw = random.Random(seed)
     salt = [draw.getrandbits(64) - (1 << 63) for _ in range(rows * bands)]
     wide = lines.select("doc", "h1", "h2", F.encode("norm", "UTF-16BE").alias("wide"))
-    each = wide.select("doc", "h1", "h2", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"length(wide) div 2 - {width}").cast("int"), F.lit(0)))).alias("i"))
-    each = each.select("doc", "h1", "h2", "i", F.xxhash64(F.expr(f"substring(wide, 2 * i + 1, {2 * width})")).alias("x"))
-    each = each.where((F.col("x") % one_in == 0) | (F.col("i") == 0))
-    low = [F.min(F.col("x").bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(salt)]
-    found = each.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("times"), *low)
-    keys = [F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)], F.lit(b)) for b in range(bands)]
-    return found.select("h1", "h2", "doc", "times", F.array(*keys).alias("keys"))
-
-
-def _shingle_set(text: Column, width: int) -> Column:
-    """Distinct 64-bit hashes of a line's shingles."""
-    wide = F.encode(text, "UTF-16BE")
-    last = F.greatest(F.floor(F.length(wide) / 2).cast("int") - width, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, 2 * i + 1, F.lit(2 * width)))))
+    wide = wide.withColumn("last", F.greatest(F.expr(f"length(wide) div 2 - {width}").cast("int"), F.lit(0)))
+    kinds = F.when(F.col("last") < SHORT - 1, F.array(F.lit(1))).when(F.col("last") >= LONG, F.array(F.lit(one_in))).otherwise(F.array(F.lit(1), F.lit(one_in)))
+    wide = wide.select("doc", "h1", "h2", "wide", "last", F.explode(kinds).alias("kind"))
+    each = wide.select("doc", "h1", "h2", "wide", "kind", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    each = each.select("doc", "h1", "h2", "kind", "i", F.xxhash64(F.expr(f"substring(wide, 2 * i + 1, {2 * width})")).alias("x"))
+    each = each.where((F.col("x") % F.col("kind") == 0) | (F.col("i") == 0))
+    x = F.when(F.col("x") % F.col("kind") == 0, F.col("x"))
+    low = [F.min(x.bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(salt)]
+    times = F.sum(F.when(F.col("i") == 0, 1).otherwise(0))
+    found = each.groupBy("h1", "h2", "kind").agg(F.min("doc").alias("doc"), times.alias("times"), *low)
+    keys = [F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)], "kind", F.lit(b)) for b in range(bands)]
+    keys = F.when(F.col("m0").isNotNull(), F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
+    return found.select("h1", "h2", "doc", "times", keys.alias("keys"))
+
+
+def _shingle_set(wide: str, width: int) -> Column:
+    """Distinct 64-bit hashes of a line's shingles, from its UTF-16 bytes."""
+    last = F.greatest(F.expr(f"length({wide}) div 2 - {width}").cast("int"), F.lit(0))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(F.col(wide), 2 * i + 1, F.lit(2 * width)))))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
-    left = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
-    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b").withColumns({"sa": _shingle_set(F.col("na"), width), "sb": _shingle_set(F.col("nb"), width)})
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = both.withColumn("shared", shared).where(F.col("shared") >= F.lit(similar) * (F.size("sa") + F.size("sb") - F.col("shared")))
-    return both.select("a", "b")
+    left = texts.select(F.col("id").alias("a"), F.col("wide").alias("wa"))
+    right = texts.select(F.col("id").alias("b"), F.col("wide").alias("wb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", _shingle_set("wa", width).alias("sa"), _shingle_set("wb", width).alias("sb"))
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return both.where(F.col("shared") >= similar * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 def dropped_lines(
@@ -79,10 +88,10 @@ def dropped_lines(
     """
     need(docs, id_col, text_col)
     work = work or Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs, id_col, text_col)
-    known = work.table(_signatures(lines, width, rows, bands, one_in, seed), "signatures").withColumn("id", F.monotonically_increasing_id())
-    known = work.table(known, "lines")
-    work.drop("signatures")
+    lines = work.table(_lines(docs, id_col, text_col), "text_lines")
+    signed = _signatures(lines, width, rows, bands, one_in, seed)
+    merged = signed.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("times").alias("times"), F.flatten(F.collect_list("keys")).alias("keys"))
+    known = work.table(merged, "signatures").withColumn("id", F.monotonically_increasing_id())
 
     slots = known.select("id", F.explode("keys").alias("key"))
     heavy = work.table(slots.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").drop("n"), "heavy")
@@ -91,8 +100,8 @@ def dropped_lines(
     pairs = work.table(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     wanted = work.table(members.select("id").distinct(), "wanted")
     texts = known.join(wanted, "id", "left_semi").select("id", "h1", "h2", "doc")
-    where = lines.select("doc", "h1", "h2", "norm").join(texts, ["doc", "h1", "h2"])
-    texts = work.table(where.groupBy("id").agg(F.any_value("norm").alias("norm")), "texts")
+    where = lines.select("doc", "h1", "h2", "norm").join(texts, ["doc", "h1", "h2"]).dropDuplicates(["id"])
+    texts = work.table(where.select("id", F.encode("norm", "UTF-16BE").alias("wide")), "texts")
 
     links = work.table(_verified(pairs, texts, width, similar), "links")
     roots = work.table(connected_components(links, work), "roots")
@@ -114,14 +123,13 @@ def dropped_lines(
     named = named.where("times > 1 OR node IS NOT NULL")
     first = named.groupBy("root").agg(F.min("doc").alias("keep"))
     named = work.table(named.join(first, "root").select("h1", "h2", "root", "keep"), "named")
-    work.drop("lines")
-    work.drop("roots")
     hits = lines.select("doc", "th", "pos", "h1", "h2").join(named, ["h1", "h2"])
     nth = F.min("pos").over(Window.partitionBy("doc", "th", "root"))
     hits = hits.withColumn("nth", nth).where(~(F.col("doc").eqNullSafe(F.col("keep")) & (F.col("pos") == F.col("nth"))))
     found = hits.groupBy("doc", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     found = work.table(found, "dropped")
-    work.drop("named")
+    for name in ("named", "signatures", "roots", "all_roots", "text_lines"):
+        work.drop(name)
     return found
 
 
@@ -140,7 +148,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(text_col)
     gone = gone.select(F.col("doc").alias("__l_doc"), F.col("th").alias("__l_th"), F.col("dropped").alias("__l_dropped"))
     same = F.col("__l_doc").eqNullSafe(F.col(id_col).cast("bigint")) & (F.col("__l_th") == F.xxhash64(F.coalesce(text, F.lit(""))))
-    joined = docs.drop("n_lines", "n_dropped").join(gone, same, "left")
+    joined = docs.drop("n_lines", "n_dropped").join(small_side(gone), same, "left")
     rest = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__l_dropped", i))
     return joined.withColumns(
         {
