@@ -40,7 +40,7 @@ class Scratch:
         before = self.spark.conf.get(_CLEAN)
         self.spark.conf.set(_CLEAN, "true")  # what was shuffled for a written table isn't needed again
         try:
-            df.write.mode("overwrite").parquet(at)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         finally:
             self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(at)
@@ -48,6 +48,10 @@ class Scratch:
     def drop(self, name: str) -> None:
         self._delete(f"{self.path}/{name}")
 
+    def close(self) -> None:
+        """Delete all tables of this folder."""
+        self._delete(self.path)
+
     def _delete(self, path: str) -> None:
         try:
             jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, need
+from .common import Scratch, need, small_side
 from .components import connected_components
 
 BITS = 64
@@ -21,17 +21,17 @@ _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 # -- fingerprints ------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
-    """64-bit SimHash of a whole text; 0 if it has no words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
+    """64-bit SimHash of a whole text in UTF-8; 0 if it has no words."""
+    words = text.lower().split()
     if not words:
         return 0
     if len(words) <= words_per_shingle:
         return _HASH(b" ".join(words))
     ones = np.zeros(BITS, np.int64)
     n = len(words) - words_per_shingle + 1
-    for at in range(0, n, 1 << 15):
-        part = words[at : at + (1 << 15) + words_per_shingle - 1]
+    for at in range(0, n, 1 << 14):
+        part = words[at : at + (1 << 14) + words_per_shingle - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(words_per_shingle)), strict=False))
         hashes = np.fromiter(map(_HASH, shingles), np.uint64)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -41,12 +41,14 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """(id, fp) for every row; fp holds the 64 bits as a signed long."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words_per_shingle) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"id": batch["id"], "fp": found.view(np.int64)})
+            text = batch.column("text")
+            found = np.array([fingerprint(text[k].as_py(), words_per_shingle) for k in range(len(text))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(rows, "id bigint, fp bigint")
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), text).mapInArrow(rows, "id bigint, fp bigint")
 
 
 # -- the index ---------------------------------------------------------------------------------------------------
@@ -143,29 +145,26 @@ def _forest(node: np.ndarray, code: np.ndarray, bits: int) -> tuple[np.ndarray,
 def _search(bits: int):
     """Partition function over rows (mask, pattern, code, rep) in the order of (mask, pattern)."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            held.append(batch)
-            key = batch[["mask", "pattern"]].to_numpy()
-            first, last = key[0], key[-1]
-            if (first == last).all() or sum(map(len, held)) < 1 << 15:
+            part = np.stack([batch.column(c).to_numpy() for c in ("mask", "pattern", "code", "rep")])
+            if not part.shape[1]:
+                continue
+            held.append(part)
+            last = (part[:2] == part[:2, -1:]).all(axis=0)
+            if last.all() or sum(p.shape[1] for p in held) < 1 << 15:
                 continue  # the last node of the batch may go on in the next one
-            rest = (key == last).all(axis=1)
-            held[-1] = batch[~rest]
-            yield links(pd.concat(held))
-            held = [batch[rest]]
+            held[-1] = part[:, ~last]
+            yield links(np.concatenate(held, axis=1))
+            held = [part[:, last]]
         if held:
-            yield links(pd.concat(held))
+            yield links(np.concatenate(held, axis=1))
 
-    def links(part: pd.DataFrame) -> pd.DataFrame:
-        mask, pattern = part["mask"].to_numpy(), part["pattern"].to_numpy()
-        node = np.cumsum(np.r_[0, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])]) if len(part) else np.array([], int)
-        rep = part["rep"].to_numpy()
-        if not len(part):
-            return pd.DataFrame({"a": rep, "b": rep})
-        a, b = _forest(node, part["code"].to_numpy().view(np.uint64), bits)
-        return pd.DataFrame({"a": rep[a], "b": rep[b]})
+    def links(part: np.ndarray) -> pa.RecordBatch:
+        node = np.cumsum(np.r_[0, (part[:2, 1:] != part[:2, :-1]).any(axis=0)])
+        a, b = _forest(node, part[2].view(np.uint64), bits)
+        return pa.RecordBatch.from_arrays([pa.array(part[3][a]), pa.array(part[3][b])], ["a", "b"])
 
     return rows
 
@@ -214,11 +213,18 @@ def near_links(codes: DataFrame, work: Scratch, *, bits: int = 2, full: int = 20
             .select("code", "rep", F.col("down").alias("mask"), F.expr("code & down").alias("pattern"))
         )
     together = done.select("mask", "pattern", "code", "rep").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
-    return together.mapInPandas(_search(bits), "a bigint, b bigint")
+    return together.mapInArrow(_search(bits), "a bigint, b bigint")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bits: int = 2, full: int = 20_000
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words_per_shingle: int = 3,
+    bits: int = 2,
+    full: int = 20_000,
+    work: Scratch | None = None,
 ) -> DataFrame:
     """Fingerprint and group of every row: groups are joined by chains of fingerprints ``bits`` or fewer bits apart.
 
@@ -229,7 +235,7 @@ def near_duplicates(
     an empty result; further columns are ignored.
     """
     need(docs, id_col, text_col)
-    work = Scratch(docs.sparkSession, "simhash")
+    work = work or Scratch(docs.sparkSession, "simhash")
     rows = work.table(fingerprints(docs, id_col=id_col, text_col=text_col, words_per_shingle=words_per_shingle), "fingerprints")
     codes = work.table(rows.groupBy(F.col("fp").alias("code")).agg(F.min("id").alias("rep")), "codes")
     links = near_links(codes.where("rep IS NOT NULL"), work, bits=bits, full=full)
@@ -240,5 +246,22 @@ def near_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", work: Scratch | None = None, **options) -> DataFrame:
+    """The row with the smallest id of each group of near copies, with all columns of ``docs``.
+
+    Of rows that share that id one stays. Rows without an id take no part: one of each text stays.
+    """
+    work = work or Scratch(docs.sparkSession, "simhash")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, work=work, **options)
+    chosen = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("__n"))
+    chosen = work.table(chosen, "chosen")
+    kept = docs.join(small_side(chosen), F.col(id_col) == F.col("__keep"))
+    if not chosen.where("__n > 1").isEmpty():
+        kept = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates([id_col]))
+    kept = kept.select(*docs.columns)
+    nameless = docs.where(F.col(id_col).isNull())
+    return kept if nameless.isEmpty() else kept.unionByName(nameless.dropDuplicates([text_col]))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
