@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,21 +24,24 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 #: Lines of up to LONG shingles have a signature over all of them, lines from SHORT on one over a sample; where both
 #: hold a line has both, so that any two lines whose sizes allow a similarity of 0.8 share a kind.
 SHORT, LONG = 76, 120
+#: A sample's signature with fewer than THIN different shingles in its minima tells too little: the line (of repeated
+#: words) gets one over all its shingles as well, and under BARE different ones that alone.
+BARE, THIN = 10, 16
 
 
-def _signatures(lines: DataFrame, width: int, rows: int, bands: int, one_in: int, seed: int) -> DataFrame:
-    """One row per distinct line and kind of signature: h1, h2, smallest doc, number of occurrences, a key per band.
+def _folded(lines: DataFrame, kinds: Column, width: int, rows: int, bands: int, seed: int) -> DataFrame:
+    """One row per distinct line and kind: h1, h2, kind, smallest doc, number of occurrences, a key per band, and spread,
+    the number of different shingles among the minima.
 
     A line's shingles are exploded and folded into the minima before anything is shuffled, all in generated code, and
     copies of a line meet in the same partial rows. The j-th permutation orders the 64-bit shingle hashes by their
-    exclusive or with a random number. The sample is of the shingles whose hash is a multiple of ``one_in``: the same
-    ones in every line, so minima agree as often as over all shingles.
+    exclusive or with a random number. A kind above 1 takes the shingles whose hash is a multiple of it: the same ones
+    in every line, so minima agree as often as over all shingles.
     """
     draw = random.Random(seed)
     salt = [draw.getrandbits(64) - (1 << 63) for _ in range(rows * bands)]
     wide = lines.select("doc", "h1", "h2", F.encode("norm", "UTF-16BE").alias("wide"))
     wide = wide.withColumn("last", F.greatest(F.expr(f"length(wide) div 2 - {width}").cast("int"), F.lit(0)))
-    kinds = F.when(F.col("last") < SHORT - 1, F.array(F.lit(1))).when(F.col("last") >= LONG, F.array(F.lit(one_in))).otherwise(F.array(F.lit(1), F.lit(one_in)))
     wide = wide.select("doc", "h1", "h2", "wide", "last", F.explode(kinds).alias("kind"))
     each = wide.select("doc", "h1", "h2", "wide", "kind", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     each = each.select("doc", "h1", "h2", "kind", "i", F.xxhash64(F.expr(f"substring(wide, 2 * i + 1, {2 * width})")).alias("x"))
@@ -47,8 +51,46 @@ def _signatures(lines: DataFrame, width: int, rows: int, bands: int, one_in: int
     times = F.sum(F.when(F.col("i") == 0, 1).otherwise(0))
     found = each.groupBy("h1", "h2", "kind").agg(F.min("doc").alias("doc"), times.alias("times"), *low)
     keys = [F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)], "kind", F.lit(b)) for b in range(bands)]
-    keys = F.when(F.col("m0").isNotNull(), F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
-    return found.select("h1", "h2", "doc", "times", keys.alias("keys"))
+    spread = F.size(F.array_distinct(F.array(*[F.col(f"m{j}").bitwiseXOR(F.lit(s)) for j, s in enumerate(salt)])))
+    return found.select(
+        "h1", "h2", "kind", "doc", "times",
+        F.when(F.col("m0").isNotNull(), F.struct(F.array(*keys).alias("keys"), _marks([f"m{j}" for j in range(rows * bands)]).alias("marks"))).alias("sign"),
+        F.when(F.col("m0").isNotNull(), spread).otherwise(0).alias("spread"),
+    )
+
+
+def _marks(minima: list[str]) -> Column:
+    """ARRAY<BIGINT> with a byte of every minimum, eight to a number."""
+    words = []
+    for at in range(0, len(minima), 8):
+        part = [F.shiftleft(F.col(m).bitwiseAND(F.lit(255)), 8 * k) for k, m in enumerate(minima[at : at + 8])]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), part))
+    return F.array(*words)
+
+
+def _agreeing(a: str, b: str, minima: int) -> Column:
+    """How many of the minima two lines share, by their marks: the bytes that differ are counted and taken off."""
+
+    def apart(k: int) -> Column:
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for shift in (4, 2, 1):  # bring every bit of a byte to its lowest
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.lit(minima) - reduce(lambda s, t: s + t, [apart(k) for k in range(-(-minima // 8))])
+
+
+def _signatures(lines: DataFrame, work: Scratch, width: int, rows: int, bands: int, one_in: int, seed: int) -> DataFrame:
+    """One row per distinct line: h1, h2, smallest doc, occurrences, and its signatures (keys and marks of each kind)."""
+    kinds = F.when(F.col("last") < SHORT - 1, F.array(F.lit(1))).when(F.col("last") >= LONG, F.array(F.lit(one_in))).otherwise(F.array(F.lit(1), F.lit(one_in)))
+    first = work.table(_folded(lines, kinds, width, rows, bands, seed), "folded")
+    thin = first.groupBy("h1", "h2").agg(F.min("kind").alias("least"), F.min("spread").alias("spread"))
+    thin = work.table(thin.where((F.col("least") > 1) & (F.col("spread") < THIN)).select("h1", "h2"), "thin")
+    again = lines.join(small_side(thin), ["h1", "h2"], "left_semi")
+    both = first.withColumn("sign", F.when((F.col("kind") == 1) | (F.col("spread") >= BARE), F.col("sign")))
+    if one_in > 1:
+        both = both.unionByName(_folded(again, F.array(F.lit(1)), width, rows, bands, seed))
+    return both.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("times").alias("times"), F.collect_list("sign").alias("signs"))
 
 
 def _shingle_set(wide: str, width: int) -> Column:
@@ -66,6 +108,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similar: float) ->
     return both.where(F.col("shared") >= similar * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+#: Buckets of this many lines or more are compared by what sets their lines apart from the bucket's lead.
+_CROWD = 16
+_WORDS = 4
+
+
+def _against_lead(members: DataFrame, leads: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Each member (key, id, root) with its size, its lead's size, and bitmaps of the shingles that it lacks (m) and has
+    besides (e), with the numbers of those that a bitmap hides behind others (mh, eh)."""
+    rows = members.select("key", "id", "root").join(leads.select("key", "lead"), "key")
+    rows = rows.join(texts.select("id", "wide"), "id").join(texts.select(F.col("id").alias("lead"), F.col("wide").alias("lead_wide")), "lead")
+    rows = rows.select("key", "id", "root", _shingle_set("wide", width).alias("own"), _shingle_set("lead_wide", width).alias("led"))
+    rows = rows.select("key", "id", "root", F.size("own").alias("size"), F.size("led").alias("led"), F.array_except("led", "own").alias("m"), F.array_except("own", "led").alias("e"))
+
+    def word(name: str, k: int) -> Column:
+        mine = F.filter(name, lambda x: F.shiftrightunsigned(x, 20).bitwiseAND(F.lit(_WORDS - 1)) == k)
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, 30).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x)))
+
+    rows = rows.withColumns({f"{c}{k}": word(c, k) for c in "me" for k in range(_WORDS)})
+    shown = {c: reduce(lambda a, b: a + b, [F.bit_count(f"{c}{k}") for k in range(_WORDS)]) for c in "me"}
+    return rows.withColumns({f"{c}n": F.size(c) for c in "me"} | {f"{c}h": F.size(c) - shown[c] for c in "me"}).drop("m", "e")
+
+
+def _may_be_alike(rows: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of a bucket, of different components, whose similarity may reach ``similar``.
+
+    With L the lead, A lacks m(A) of it and has e(A) besides, and so |A & B| = |L| - |m(A)| - |m(B)| + |m(A) & m(B)| +
+    |e(A) & e(B)|. Bitmaps bound the last two from above: common bits, and what either map hides. The bound is tight where
+    lines are small changes of one text, which is what fills a bucket, and it never loses a pair.
+    """
+    names = [f"{c}{k}" for c in "me" for k in range(_WORDS)] + ["mn", "mh", "eh", "size", "root"]
+    left = rows.select("key", "led", F.col("id").alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
+    right = rows.select(F.col("key").alias("b_key"), F.col("id").alias("b"), *[F.col(n).alias(f"b_{n}") for n in names])
+    common = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}{k}").bitwiseAND(F.col(f"b_{c}{k}"))) for c in "me" for k in range(_WORDS)])
+    hidden = F.least("a_mh", "b_mh") + F.least("a_eh", "b_eh")
+    shared = F.col("led") - F.col("a_mn") - F.col("b_mn") + common + hidden
+    reach = shared * (1 + similar) >= similar * (F.col("a_size") + F.col("b_size"))
+    return left.join(right, (F.col("key") == F.col("b_key")) & (F.col("a_root") < F.col("b_root")) & reach).select("a", "b")
+
+
 def dropped_lines(
     docs: DataFrame,
     *,
@@ -75,29 +157,34 @@ def dropped_lines(
     rows: int = 4,
     bands: int = 8,
     one_in: int = 4,
+    agree: int = 21,
     similar: float = 0.8,
     seed: int = 9,
     work: Scratch | None = None,
 ) -> DataFrame:
     """(doc, th, dropped): the sorted numbers of the lines to drop, for documents (id, hash of the text) that have any.
 
-    Candidates are lines that agree in a whole band of minima: with 8 bands of 4 that is 98.5 % of pairs at similarity
-    0.8 and over 99.9 % at 0.85. Each bucket's members are checked against its first line, and joined; where members
-    of a bucket are then still apart, the pairs across its components are checked as well, so no candidate link is
-    lost while copies of one line never make all their pairs.
+    Candidates are lines that agree in a whole band of minima and in ``agree`` of all minima: with 8 bands of 4 and 21 of
+    32 that is 95 % of pairs at similarity 0.8 and over 99 % at 0.87. Each bucket's members are checked against its most
+    frequent line, and joined; where members of a bucket are then still apart, the candidates across its components are
+    checked as well. So every candidate link counts, while lines that are alike already never make all their pairs.
     """
     need(docs, id_col, text_col)
     work = work or Scratch(docs.sparkSession, "lines")
     lines = work.table(_lines(docs, id_col, text_col), "text_lines")
-    signed = _signatures(lines, width, rows, bands, one_in, seed)
-    merged = signed.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("times").alias("times"), F.flatten(F.collect_list("keys")).alias("keys"))
-    known = work.table(merged, "signatures").withColumn("id", F.monotonically_increasing_id())
+    known = work.table(_signatures(lines, work, width, rows, bands, one_in, seed), "signatures").withColumn("id", F.monotonically_increasing_id())
+    work.drop("folded")
+    work.drop("thin")
 
-    slots = known.select("id", F.explode("keys").alias("key"))
-    heavy = work.table(slots.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").drop("n"), "heavy")
-    members = work.table(slots.join(heavy, "key").select("key", "id", "lead"), "members")
+    minima = rows * bands
+    slots = known.select("id", "times", F.explode("signs").alias("sign")).select("id", "times", "sign.marks", F.explode("sign.keys").alias("key"))
+    lead = F.max_by(F.struct("id", "marks"), F.struct("times", F.bitwise_not("id"))).alias("lead")
+    heavy = work.table(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "heavy")
+    members = work.table(slots.join(heavy, "key").select("key", "id", "marks", "times"), "members")
     work.drop("heavy")
-    pairs = work.table(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    leads = members.groupBy("key").agg(lead).select("key", F.col("lead.id").alias("lead"), F.col("lead.marks").alias("lead_marks"))
+    pairs = members.join(leads, "key").where((F.col("id") != F.col("lead")) & (_agreeing("marks", "lead_marks", minima) >= agree))
+    pairs = work.table(pairs.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
     wanted = work.table(members.select("id").distinct(), "wanted")
     texts = known.join(wanted, "id", "left_semi").select("id", "h1", "h2", "doc")
     where = lines.select("doc", "h1", "h2", "norm").join(texts, ["doc", "h1", "h2"]).dropDuplicates(["id"])
@@ -105,17 +192,24 @@ def dropped_lines(
 
     links = work.table(_verified(pairs, texts, width, similar), "links")
     roots = work.table(connected_components(links, work), "roots")
-    placed = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    placed = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "marks", F.coalesce("root", "id").alias("root"))
     placed = work.table(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed = work.table(placed.join(mixed, "key", "left_semi"), "mixed")
     if not mixed.isEmpty():
-        left, right = mixed.select("key", F.col("id").alias("a"), F.col("root").alias("ra")), mixed.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-        across = left.join(right, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sized = work.table(mixed.join(mixed.groupBy("key").agg(F.count("*").alias("n")), "key"), "sized")
+        few = sized.where(f"n < {_CROWD}")
+        left = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("marks").alias("ma"))
+        right = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("marks").alias("mb"))
+        apart = (left["key"] == right["key"]) & (F.col("ra") < F.col("rb")) & (_agreeing("ma", "mb", minima) >= agree)
+        near = left.join(right, apart).select("a", "b")
+        crowded = work.table(_against_lead(sized.where(f"n >= {_CROWD}"), leads, texts, width), "crowded")
+        near = near.unionByName(_may_be_alike(crowded, similar))
+        across = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = work.table(_verified(across.join(pairs, ["a", "b"], "left_anti"), texts, width, similar), "more")
         if not more.isEmpty():
             roots = work.table(connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), work), "all_roots")
-    for name in ("members", "pairs", "wanted", "texts", "links", "placed", "mixed"):
+    for name in ("members", "pairs", "wanted", "texts", "links", "placed", "mixed", "more", "sized", "crowded"):
         work.drop(name)
 
     tops = roots.select("root").distinct().select(F.col("root").alias("node"), "root")
