@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, need
+from .common import SPACE, Scratch, need, small_side
 
 #: Names of the transformed statistics, in the order of the vectors.
 VECTOR = ("x0", "x1", "x2", "x3", "x4")
@@ -139,7 +139,7 @@ def _param_names() -> list[str]:
     return [f"m_{i}" for i in range(_P)] + [f"l_{i}{j}" for i in range(_P) for j in range(i + 1)]
 
 
-def _median_start(rows: DataFrame) -> DataFrame:
+def _median_start(rows: DataFrame, work: Scratch) -> DataFrame:
     """First centres and scales: medians and median deviations, from counts per bin of 1/64 (exact to a bin).
 
     Rows are counted per (group, coordinate, bin) before the shuffle, so that a group of any size sends a bounded number
@@ -154,8 +154,8 @@ def _median_start(rows: DataFrame) -> DataFrame:
         found = found.groupBy("g", "i").agg(((F.min("bin") + 0.5) / 64).alias("v"))
         return found.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"v_{i}") for i in range(_P)])
 
-    centre = medians(rows)
-    off = rows.join(centre, "g").select("g", *[F.abs(F.col(x) - F.col(f"v_{i}")).alias(x) for i, x in enumerate(VECTOR)])
+    centre = work.table(medians(rows), "medians")
+    off = rows.join(small_side(centre), "g").select("g", *[F.abs(F.col(x) - F.col(f"v_{i}")).alias(x) for i, x in enumerate(VECTOR)])
     scale = medians(off).select("g", *[F.col(f"v_{i}").alias(f"s_{i}") for i in range(_P)])
     start = centre.join(scale, "g")
     zero = {f"l_{i}{j}": F.lit(0.0) for i in range(_P) for j in range(i)}
@@ -197,11 +197,11 @@ def fit(vectors: DataFrame, work: Scratch, *, keep: float = 0.75, steps: int = 5
     counted = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
     sizes = counted.select(F.explode(group_keys()).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
     groups = work.table(sizes.where((F.col("n") >= min_rows) | F.col("g").startswith("0")).select("g"), "groups")
-    rows = work.table(vectors.select(F.explode(group_keys()).alias("g"), *VECTOR).join(groups, "g", "left_semi"), "vectors")
+    rows = work.table(vectors.select(F.explode(group_keys()).alias("g"), *VECTOR).join(small_side(groups), "g", "left_semi"), "vectors")
     factor = keep / chi2_cdf(chi2_quantile(keep, _P), _P + 2)
-    params = work.table(_median_start(rows), "params0")
+    params = work.table(_median_start(rows, work), "params0")
     for k in range(1, steps + 1):
-        params = work.table(_c_step(rows, params, keep, factor), f"params{k}")
+        params = work.table(_c_step(rows, small_side(params), keep, factor), f"params{k}")
         work.drop(f"params{k - 1}")
     work.drop("vectors")
     return params
@@ -214,51 +214,72 @@ def group_keys() -> Column:
     return F.array(F.lit("0"), F.concat(F.lit("1"), lang), F.concat(F.lit("2"), lang, F.lit("\u0001"), source))
 
 
-def judged(rows: DataFrame, params: DataFrame, *, cutoff: float) -> DataFrame:
+def judged(rows: DataFrame, params: DataFrame, work: Scratch, *, cutoff: float) -> DataFrame:
     """Add d2 (squared distance from the narrowest group with an estimate) and outlier to rows (lang, source, x0..x4)."""
     pick = rows.select("lang", "source").distinct().select("lang", "source", F.posexplode(group_keys()).alias("depth", "g"))
     best = pick.join(params, "g").groupBy("lang", "source").agg(F.max_by(F.struct(*_param_names()), "depth").alias("p"))
     best = best.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "p.*")
+    best = small_side(work.table(best, "best"))
     joined = rows.join(best, rows["lang"].eqNullSafe(best["__lang"]) & rows["source"].eqNullSafe(best["__source"]), "left")
     d2 = F.coalesce(squared_distance(), F.lit(0.0))
     return joined.withColumn("d2", d2).withColumn("outlier", F.col("d2") > cutoff).drop("__lang", "__source", *_param_names())
 
 
+def _judged_rows(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...], keep: float, tail: float, min_rows: int, work: Scratch) -> DataFrame:
+    """The ``carry`` columns as __c_<name>, the statistics, base_failed, outlier and d2."""
+    need(docs, text_col, lang_col, source_col, *carry)
+    picked = docs.select(*[F.col(c).alias(f"__c_{c}") for c in carry], F.col(text_col).alias("__t"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    counted = with_stats(picked, text_col="__t").drop("__t").withColumn("base_failed", base_failed())
+    rows = work.table(counted.withColumns(dict(zip(VECTOR, vector(), strict=True))), "stats")
+    params = fit(rows.where("NOT base_failed").select("lang", "source", *VECTOR), work, keep=keep, min_rows=min_rows)
+    return judged(rows, params, work, cutoff=chi2_quantile(1 - tail, _P))
+
+
 def quality_verdicts(
     docs: DataFrame,
     *,
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    carry: tuple[str, ...] = ("doc_id",),
+    id_col: str = "doc_id",
     keep: float = 0.75,
     tail: float = 1e-6,
     min_rows: int = 100,
     work: Scratch | None = None,
 ) -> DataFrame:
-    """The ``carry`` columns, the statistics, base_failed, distance and kept, one row per document.
+    """id, the statistics, base_failed, kept and distance, one row per document.
 
     A document goes if it fails the base rules (under 20 words, or over 30 % of its words in repeated windows of eight)
     or if the Mahalanobis distance of its transformed statistics, from the minimum-covariance-determinant estimate for
     its language and source, is beyond the chi-squared quantile of ``1 - tail``. Estimates are fitted to the documents
     that pass the base rules, all of them; a group of fewer than ``min_rows`` uses its language's estimate, and a small
     language that of all documents. Null languages and sources are groups of their own; null text has no words; an
-    empty table gives an empty result; columns that aren't asked for are ignored.
+    empty table gives an empty result; repeated rows count each; further columns are ignored.
     """
-    need(docs, text_col, lang_col, source_col, *carry)
-    work = work or Scratch(docs.sparkSession, "quality")
-    picked = docs.select(*[F.col(c).alias(f"__c_{c}") for c in carry], F.col(text_col).alias("__t"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    counted = with_stats(picked, text_col="__t").drop(*([] if text_col in carry else ["__t"]))
-    rows = work.table(counted.withColumn("base_failed", base_failed()).withColumns(dict(zip(VECTOR, vector(), strict=True))), "stats")
-    params = fit(rows.where("NOT base_failed").select("lang", "source", *VECTOR), work, keep=keep, min_rows=min_rows)
-    found = judged(rows, params, cutoff=chi2_quantile(1 - tail, _P))
+    found = _judged_rows(docs, text_col, lang_col, source_col, (id_col,), keep, tail, min_rows, work or Scratch(docs.sparkSession, "quality"))
     return found.select(
-        *[F.col(f"__c_{c}").alias(c) for c in carry],
+        F.col(f"__c_{id_col}").alias(id_col),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.col("outlier")).alias("kept"),
         F.sqrt("d2").alias("distance"),
     )
 
 
+def keep_good(
+    docs: DataFrame,
+    *,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    keep: float = 0.75,
+    tail: float = 1e-6,
+    min_rows: int = 100,
+    work: Scratch | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns and no others."""
+    found = _judged_rows(docs, text_col, lang_col, source_col, tuple(docs.columns), keep, tail, min_rows, work or Scratch(docs.sparkSession, "quality"))
+    return found.where("NOT base_failed AND NOT outlier").select(*[F.col(f"__c_{c}").alias(c) for c in docs.columns])
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
