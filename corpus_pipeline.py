@@ -1,8 +1,79 @@
-"""Placeholder until the stages exist."""
+"""Corpus preparation in five stages: toxicity, quality rules, line dedup, SimHash near-dedup, best-fit packing.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame. Its result is written before the next stage begins, which
+reads it back; so a stage may free what its predecessor kept in the shared folder.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoloom.llm import line_dedup, packing, quality, simhash, toxicity
+from geoloom.llm.common import Scratch, small_side
+
+_held: list[Scratch] = []
+
+
+def _begin(spark: SparkSession, label: str) -> Scratch:
+    while _held:
+        _held.pop().close()
+    _held.append(Scratch(spark, label))
+    return _held[-1]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose calibrated score is under one half; labels come from the labels table."""
+    work = _begin(spark, "toxic")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), work=work)
+    return toxicity.score(docs, model, score_col="__score").where("__score < 0.5").select(*docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    work = _begin(spark, "quality")
+    return quality.keep_good(docs, work=work)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that nearly equal a kept one; n_chars follows the text."""
+    work = _begin(spark, "lines")
+    kept = line_dedup.dedup_lines(docs, work=work)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    work = _begin(spark, "near")
+    return simhash.keep_one(docs, work=work)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, dealt into sequences."""
+    work = _begin(spark, "pack")
+    return packing.pack_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), work=work)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("best_fit_packing", pack),
+]
+
+#: The stages' model fitting, hashing and tokenising have no SQL; tests compare them with plain programs.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    between = Scratch(spark, "stages")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = between.table(docs, name)
+            if k:
+                between.drop(STAGES[k - 1][0])
+    return docs

@@ -83,6 +83,7 @@ def packed(
     carry: int = 512,
     end_id: int = 0,
     local: int = 1 << 16,
+    work: Scratch | None = None,
 ) -> DataFrame:
     """Sequences of at most ``limit`` tokens: sequence_id, fill, and arrays doc_id, piece, start, length, crc.
 
@@ -92,7 +93,7 @@ def packed(
     and loses no piece. ``tokenizer`` is the path of a vocabulary file on the executors.
     """
     need(docs, id_col, text_col)
-    work = Scratch(docs.sparkSession, "packing")
+    work = work or Scratch(docs.sparkSession, "packing")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, end = word_bpe(tokenizer), np.array([end_id], "<u4").tobytes()
