@@ -105,6 +105,7 @@ class PieceLattice:
             at, state = at[on], state[on]
             ends = self.piece[state] >= 0
             found.append((at[ends], state[ends], length))
+        found.reverse()  # a node's choices stand in order of where they begin
         alone = {k: self.word(words[k]) for k in np.flatnonzero(single).tolist()}
         nodes = size + 1
         for k, t in alone.items():
