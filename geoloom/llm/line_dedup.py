@@ -110,7 +110,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similar: float) ->
 
 #: Buckets of this many lines or more are compared by what sets their lines apart from the bucket's lead.
 _CROWD = 16
-_WORDS = 4
+_WORDS = 8
 
 
 def _against_lead(members: DataFrame, leads: DataFrame, texts: DataFrame, width: int) -> DataFrame:
