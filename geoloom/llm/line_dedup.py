@@ -177,10 +177,14 @@ def dropped_lines(
     work.drop("thin")
 
     minima = rows * bands
-    slots = known.select("id", "times", F.explode("signs").alias("sign")).select("id", "times", "sign.marks", F.explode("sign.keys").alias("key"))
+    slots = known.select("id", F.posexplode("signs").alias("nth", "sign")).select("id", "nth", F.explode("sign.keys").alias("key"))
     lead = F.max_by(F.struct("id", "marks"), F.struct("times", F.bitwise_not("id"))).alias("lead")
     heavy = work.table(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "heavy")
-    members = work.table(slots.join(heavy, "key").select("key", "id", "marks", "times"), "members")
+    shared = work.table(slots.join(heavy, "key"), "shared")
+    signed = known.select("id", "times", "signs")
+    members = shared.join(signed, "id").select("key", "id", F.get("signs", F.col("nth"))["marks"].alias("marks"), "times")
+    members = work.table(members, "members")
+    work.drop("shared")
     work.drop("heavy")
     leads = members.groupBy("key").agg(lead).select("key", F.col("lead.id").alias("lead"), F.col("lead.marks").alias("lead_marks"))
     pairs = members.join(leads, "key").where((F.col("id") != F.col("lead")) & (_agreeing("marks", "lead_marks", minima) >= agree))
