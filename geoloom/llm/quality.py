@@ -243,7 +243,7 @@ def quality_verdicts(
     source_col: str = "source",
     id_col: str = "doc_id",
     keep: float = 0.75,
-    tail: float = 1e-6,
+    tail: float = 1e-8,
     min_rows: int = 100,
     work: Scratch | None = None,
 ) -> DataFrame:
@@ -272,7 +272,7 @@ def keep_good(
     lang_col: str = "lang",
     source_col: str = "source",
     keep: float = 0.75,
-    tail: float = 1e-6,
+    tail: float = 1e-8,
     min_rows: int = 100,
     work: Scratch | None = None,
 ) -> DataFrame:
