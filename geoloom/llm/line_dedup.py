@@ -45,8 +45,9 @@ def _folded(lines: DataFrame, kinds: Column, width: int, rows: int, bands: int,
     wide = wide.select("doc", "h1", "h2", "wide", "last", F.explode(kinds).alias("kind"))
     each = wide.select("doc", "h1", "h2", "wide", "kind", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     each = each.select("doc", "h1", "h2", "kind", "i", F.xxhash64(F.expr(f"substring(wide, 2 * i + 1, {2 * width})")).alias("x"))
-    each = each.where((F.col("x") % F.col("kind") == 0) | (F.col("i") == 0))
-    x = F.when(F.col("x") % F.col("kind") == 0, F.col("x"))
+    taken = F.col("x").bitwiseAND(F.col("kind") - 1) == 0  # a multiple of it, as kinds are powers of two
+    each = each.where(taken | (F.col("i") == 0))
+    x = F.when(taken, F.col("x"))
     low = [F.min(x.bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(salt)]
     times = F.sum(F.when(F.col("i") == 0, 1).otherwise(0))
     found = each.groupBy("h1", "h2", "kind").agg(F.min("doc").alias("doc"), times.alias("times"), *low)
@@ -170,6 +171,8 @@ def dropped_lines(
     checked as well. So every candidate link counts, while lines that are alike already never make all their pairs.
     """
     need(docs, id_col, text_col)
+    if one_in < 1 or one_in & one_in - 1:
+        raise ValueError("one_in must be a power of two")
     work = work or Scratch(docs.sparkSession, "lines")
     lines = work.table(_lines(docs, id_col, text_col), "text_lines")
     known = work.table(_signatures(lines, work, width, rows, bands, one_in, seed), "signatures").withColumn("id", F.monotonically_increasing_id())
