@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,50 @@ def clip_to_box(polygons: DataFrame, minx: float, miny: float, maxx: float, maxy
     return out.where(F.size(geom) > 0)
 
 
+def dissolved(polygons: DataFrame, *, by: tuple[str, ...] = (), geom: str = "geom") -> DataFrame:
+    """One MultiPolygon per group, of all its parts. Even-odd predicates read it as the union where parts don't overlap."""
+    return polygons.groupBy(*by).agg(F.flatten(F.array_sort(F.collect_list(geom))).alias(geom))
+
+
+def simplified(polygons: DataFrame, tolerance: float, *, geom: str = "geom") -> DataFrame:
+    """Rings without the vertices nearer than ``tolerance`` to the line that replaces them (Douglas and Peucker 1973).
+
+    Rings that shrink below four vertices are dropped, and polygons without a first ring with them.
+    """
+
+    def ring(points: list) -> list:
+        xy = np.array([(p["x"], p["y"]) for p in points], float)
+        keep = np.zeros(len(xy), bool)
+        far = int(np.argmax(((xy - xy[0]) ** 2).sum(axis=1)))  # a ring ends where it begins, so it is cut in two
+        keep[[0, far, -1]] = True
+        open_parts = [(0, far), (far, len(xy) - 1)]
+        while open_parts:
+            a, b = open_parts.pop()
+            if b - a < 2:
+                continue
+            line, off = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
+            length = np.hypot(*line)
+            gap = np.abs(line[0] * off[:, 1] - line[1] * off[:, 0]) / length if length else np.hypot(off[:, 0], off[:, 1])
+            if gap.max() > tolerance:
+                k = a + 1 + int(gap.argmax())
+                keep[k] = True
+                open_parts += [(a, k), (k, b)]
+        return [points[k] for k in np.flatnonzero(keep)]
+
+    @F.udf(geo.GEOMETRY)
+    def shape(value):
+        if value is None:
+            return None
+        out = []
+        for polygon in value:
+            rings = [ring(r) for r in polygon]
+            if rings and len(rings[0]) >= 4:
+                out.append([r for r in rings if len(r) >= 4])
+        return out
+
+    return polygons.withColumn(geom, shape(F.col(geom)))
+
+
 def zone_cells(polygons: DataFrame, grid: Grid, *, key: str, geom: str = "geom") -> DataFrame:
     """(key, row, col, small): cells whose centre a polygon holds; where there are none, the cells that it touches.
 

@@ -350,3 +350,37 @@ def search(spark: SparkSession, sf: str) -> DataFrame:
 @query("feature_subsets", "SELECT size, CAST(count(*) AS BIGINT) AS n FROM (SELECT bit_count(m) AS size FROM (SELECT unnest(range(0, 256)) AS m)) WHERE size >= 6 GROUP BY 1")
 def subsets(spark: SparkSession, sf: str) -> DataFrame:
     return models.feature_subsets(spark, [f"f{k}" for k in range(8)]).groupBy("size").agg(F.count("*").alias("n"))
+
+
+@query(
+    "gridded_month_box",
+    f"""WITH {LATTICE} SELECT strftime(ts, '%Y-%m-%d') AS date, r AS lat, c AS lon, CASE WHEN v <> 0.5 THEN v END AS v FROM lattice
+    WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' AND r > 1 AND r < 7 AND c > 10 AND c < 60""",
+)
+def gridded(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.readers import gridded_month
+
+    stack = lattice(spark, sf).select(F.to_date("ts").alias("date"), F.col("row").alias("lat"), F.col("col").alias("lon"), "v")
+    return gridded_month(stack, 2024, 1, (1, 7, 10, 60), nodata=0.5).withColumn("date", F.col("date").cast("string"))
+
+
+@query("pending_work", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01')")
+def pending(spark: SparkSession, sf: str) -> DataFrame:
+    done = table(spark, sf, "orders").where("o_orderdate < TIMESTAMP_NTZ '1995-06-01 00:00:00'").select(F.col("o_custkey").alias("c_custkey"))
+    return observations.not_done(table(spark, sf, "customer").select("c_custkey"), done, key="c_custkey")
+
+
+@query("basins_with_points", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+def with_points(spark: SparkSession, sf: str) -> DataFrame:
+    points = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
+    return observations.basins_with_points(table(spark, sf, "nation").select("n_nationkey", "n_name"), points, key="n_nationkey")
+
+
+@query("complete_rows", f'WITH {LATTICE} SELECT r AS "row", c AS col, v FROM lattice WHERE v IS NOT NULL AND event_type IN (\'view\', \'click\')')
+def complete(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice(spark, sf).where(F.col("event_type").isin("view", "click")).select("row", "col", "v").na.drop(how="any")
+
+
+@query("clamped", "SELECT c_custkey, greatest(least(c_acctbal, 5000), 0) AS v FROM customer")
+def clamped(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", features.clamp(F.col("c_acctbal"), 0.0, 5000.0).alias("v"))

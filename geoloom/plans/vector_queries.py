@@ -151,3 +151,16 @@ def albers_back(spark: SparkSession, sf: str) -> DataFrame:
     there = _lonlat(spark, sf).select("c_custkey", x.alias("x"), y.alias("y"))
     lon, lat = Albers().inverse(F.col("x"), F.col("y"))
     return rounded(there.select("c_custkey", lon.alias("lon"), lat.alias("lat")), "lon", "lat", to=5)
+
+
+@query("dissolve", "SELECT n_regionkey, CAST(count(*) AS INT) AS parts, round(sum(14.0 * (n_nationkey % 7 + 4) ** 2) + 1e-7, 4) AS area FROM nation GROUP BY 1")
+def dissolve(spark: SparkSession, sf: str) -> DataFrame:
+    shapes = polygons(spark, sf).join(table(spark, sf, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    found = spatial.dissolved(shapes, by=("n_regionkey",))
+    return rounded(found.select("n_regionkey", F.size("geom").alias("parts"), geo.area("geom").alias("area")), "area")
+
+
+@query("simplify")
+def simplify(spark: SparkSession, sf: str) -> DataFrame:
+    found = spatial.simplified(polygons(spark, sf), 4.5)
+    return found.select("n_nationkey", F.size(F.flatten(F.flatten("geom"))).alias("vertices"))

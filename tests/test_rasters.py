@@ -172,3 +172,26 @@ def test_stream(spark, tmp_path):
         zonal.run(spark, src, "ts timestamp, user_id bigint, value double", str(tmp_path / "out"), str(tmp_path / "cp"))
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(str(r.date), r["mean"], r.n) for r in rows] == [("2024-01-01", 3.0, 2)]
+
+
+def test_simplify_and_dissolve(spark):
+    ring = [(0, 0), (5, 0.01), (10, 0), (10, 10), (5, 10.01), (0, 10), (0, 0)]
+    geom = "array(array(array(" + ", ".join(f"struct({x}D AS x, {y}D AS y)" for x, y in ring) + ")))"
+    shapes = spark.range(2).select("id", F.expr(geom).alias("geom"))
+    assert [len(r.geom[0][0]) for r in spatial.simplified(shapes, 0.1).collect()] == [5, 5]
+    assert [len(r.geom[0][0]) for r in spatial.simplified(shapes, 0.001).collect()] == [7, 7]
+    assert len(spatial.dissolved(shapes).first().geom) == 2
+
+
+def test_catalog(spark):
+    from geoloom.sources import catalog
+
+    files = spark.createDataFrame([("a.hdf", 18, 7)], "path string, h int, v int")
+    day = F.lit("2020-01-01").cast("date")
+    found = catalog.entries(files, h=F.col("h"), v=F.col("v"), start=day, end=F.date_add(day, 15), tags={"name": F.lit("NDVI 16 days")})
+    assert found.first().tile == "h18v7"
+    assert catalog.of_product(found, "name", "NDVI").count() == 1
+    with pytest.raises(Exception, match="no tag"):
+        catalog.of_product(found, "other", "NDVI").collect()
+    urls = spark.createDataFrame([(1, ["x.xml", "x.hdf"])], "g int, urls array<string>")
+    assert catalog.first_match(urls, key="g").first().url == "x.hdf"
