@@ -115,7 +115,7 @@ def simplified(polygons: DataFrame, tolerance: float, *, geom: str = "geom") ->
                 open_parts += [(a, k), (k, b)]
         return [points[k] for k in np.flatnonzero(keep)]
 
-    @F.udf(geo.GEOMETRY)
+    @F.udf(geo.GEOMETRY, useArrow=True)
     def shape(value):
         if value is None:
             return None
