@@ -97,16 +97,21 @@ def _signatures(lines: DataFrame, work: Scratch, width: int, rows: int, bands: i
 def _shingle_set(wide: str, width: int) -> Column:
     """Distinct 64-bit hashes of a line's shingles, from its UTF-16 bytes."""
     last = F.greatest(F.expr(f"length({wide}) div 2 - {width}").cast("int"), F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(F.col(wide), 2 * i + 1, F.lit(2 * width)))))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), 2 * last + 1, F.lit(2)), lambda at: F.xxhash64(F.substring(F.col(wide), at, F.lit(2 * width)))))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+def _verified(pairs: DataFrame, texts: DataFrame, work: Scratch, name: str, width: int, similar: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity.
+
+    The sizes are written before they are compared: a filter above them would be pushed below, and take the sets anew for
+    each time that it names them.
+    """
     left = texts.select(F.col("id").alias("a"), F.col("wide").alias("wa"))
     right = texts.select(F.col("id").alias("b"), F.col("wide").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", _shingle_set("wa", width).alias("sa"), _shingle_set("wb", width).alias("sb"))
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return both.where(F.col("shared") >= similar * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    sizes = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    sizes = work.table(sizes, name)
+    return sizes.where(F.col("shared") >= similar * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 #: Buckets of this many lines or more are compared by what sets their lines apart from the bucket's lead.
@@ -117,10 +122,11 @@ _WORDS = 8
 def _against_lead(members: DataFrame, leads: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Each member (key, id, root) with its size, its lead's size, and bitmaps of the shingles that it lacks (m) and has
     besides (e), with the numbers of those that a bitmap hides behind others (mh, eh)."""
-    rows = members.select("key", "id", "root").join(leads.select("key", "lead"), "key")
+    members = members.select("key", "id", "root").join(leads.select("key", "lead"), "key")
+    rows = members.select("id", "lead").distinct()  # a line meets the same lead in most of its buckets
     rows = rows.join(texts.select("id", "wide"), "id").join(texts.select(F.col("id").alias("lead"), F.col("wide").alias("lead_wide")), "lead")
-    rows = rows.select("key", "id", "root", _shingle_set("wide", width).alias("own"), _shingle_set("lead_wide", width).alias("led"))
-    rows = rows.select("key", "id", "root", F.size("own").alias("size"), F.size("led").alias("led"), F.array_except("led", "own").alias("m"), F.array_except("own", "led").alias("e"))
+    rows = rows.select("id", "lead", _shingle_set("wide", width).alias("own"), _shingle_set("lead_wide", width).alias("led"))
+    rows = rows.select("id", "lead", F.size("own").alias("size"), F.size("led").alias("led"), F.array_except("led", "own").alias("m"), F.array_except("own", "led").alias("e"))
 
     def word(name: str, k: int) -> Column:
         mine = F.filter(name, lambda x: F.shiftrightunsigned(x, 20).bitwiseAND(F.lit(_WORDS - 1)) == k)
@@ -129,7 +135,8 @@ def _against_lead(members: DataFrame, leads: DataFrame, texts: DataFrame, width:
 
     rows = rows.withColumns({f"{c}{k}": word(c, k) for c in "me" for k in range(_WORDS)})
     shown = {c: reduce(lambda a, b: a + b, [F.bit_count(f"{c}{k}") for k in range(_WORDS)]) for c in "me"}
-    return rows.withColumns({f"{c}n": F.size(c) for c in "me"} | {f"{c}h": F.size(c) - shown[c] for c in "me"}).drop("m", "e")
+    rows = rows.withColumns({f"{c}n": F.size(c) for c in "me"} | {f"{c}h": F.size(c) - shown[c] for c in "me"}).drop("m", "e")
+    return members.join(rows, ["id", "lead"])
 
 
 def _may_be_alike(rows: DataFrame, similar: float) -> DataFrame:
@@ -197,7 +204,7 @@ def dropped_lines(
     where = lines.select("doc", "h1", "h2", "norm").join(texts, ["doc", "h1", "h2"]).dropDuplicates(["id"])
     texts = work.table(where.select("id", F.encode("norm", "UTF-16BE").alias("wide")), "texts")
 
-    links = work.table(_verified(pairs, texts, width, similar), "links")
+    links = _verified(pairs, texts, work, "links", width, similar)
     roots = work.table(connected_components(links, work), "roots")
     placed = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "marks", F.coalesce("root", "id").alias("root"))
     placed = work.table(placed, "placed")
@@ -213,7 +220,7 @@ def dropped_lines(
         crowded = work.table(_against_lead(sized.where(f"n >= {_CROWD}"), leads, texts, width), "crowded")
         near = near.unionByName(_may_be_alike(crowded, similar))
         across = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = work.table(_verified(across.join(pairs, ["a", "b"], "left_anti"), texts, width, similar), "more")
+        more = _verified(across.join(pairs, ["a", "b"], "left_anti"), texts, work, "more", width, similar)
         if not more.isEmpty():
             roots = work.table(connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), work), "all_roots")
     for name in ("members", "pairs", "wanted", "texts", "links", "placed", "mixed", "more", "sized", "crowded"):
