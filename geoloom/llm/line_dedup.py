@@ -55,34 +55,13 @@ def _folded(lines: DataFrame, kinds: Column, width: int, rows: int, bands: int,
     spread = F.size(F.array_distinct(F.array(*[F.col(f"m{j}").bitwiseXOR(F.lit(s)) for j, s in enumerate(salt)])))
     return found.select(
         "h1", "h2", "kind", "doc", "times",
-        F.when(F.col("m0").isNotNull(), F.struct(F.array(*keys).alias("keys"), _marks([f"m{j}" for j in range(rows * bands)]).alias("marks"))).alias("sign"),
+        F.when(F.col("m0").isNotNull(), F.array(*keys)).alias("sign"),
         F.when(F.col("m0").isNotNull(), spread).otherwise(0).alias("spread"),
     )
 
 
-def _marks(minima: list[str]) -> Column:
-    """ARRAY<BIGINT> with a byte of every minimum, eight to a number."""
-    words = []
-    for at in range(0, len(minima), 8):
-        part = [F.shiftleft(F.col(m).bitwiseAND(F.lit(255)), 8 * k) for k, m in enumerate(minima[at : at + 8])]
-        words.append(reduce(lambda a, b: a.bitwiseOR(b), part))
-    return F.array(*words)
-
-
-def _agreeing(a: str, b: str, minima: int) -> Column:
-    """How many of the minima two lines share, by their marks: the bytes that differ are counted and taken off."""
-
-    def apart(k: int) -> Column:
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        for shift in (4, 2, 1):  # bring every bit of a byte to its lowest
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-
-    return F.lit(minima) - reduce(lambda s, t: s + t, [apart(k) for k in range(-(-minima // 8))])
-
-
 def _signatures(lines: DataFrame, work: Scratch, width: int, rows: int, bands: int, one_in: int, seed: int) -> DataFrame:
-    """One row per distinct line: h1, h2, smallest doc, occurrences, and its signatures (keys and marks of each kind)."""
+    """One row per distinct line: h1, h2, smallest doc, occurrences, and the band keys of its kinds."""
     kinds = F.when(F.col("last") < SHORT - 1, F.array(F.lit(1))).when(F.col("last") >= LONG, F.array(F.lit(one_in))).otherwise(F.array(F.lit(1), F.lit(one_in)))
     first = work.table(_folded(lines, kinds, width, rows, bands, seed), "folded")
     thin = first.groupBy("h1", "h2").agg(F.min("kind").alias("least"), F.min("spread").alias("spread"))
@@ -91,7 +70,7 @@ def _signatures(lines: DataFrame, work: Scratch, width: int, rows: int, bands: i
     both = first.withColumn("sign", F.when((F.col("kind") == 1) | (F.col("spread") >= BARE), F.col("sign")))
     if one_in > 1:
         both = both.unionByName(_folded(again, F.array(F.lit(1)), width, rows, bands, seed))
-    return both.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("times").alias("times"), F.collect_list("sign").alias("signs"))
+    return both.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("times").alias("times"), F.flatten(F.collect_list("sign")).alias("keys"))
 
 
 def _shingle_set(wide: str, width: int) -> Column:
@@ -115,7 +94,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, work: Scratch, name: str, widt
 
 
 #: Buckets of this many lines or more are compared by what sets their lines apart from the bucket's lead.
-_CROWD = 16
+_CROWD = 6
 _WORDS = 8
 
 
@@ -165,39 +144,36 @@ def dropped_lines(
     rows: int = 4,
     bands: int = 8,
     one_in: int = 4,
-    agree: int = 21,
+    agree: int = 0,
     similar: float = 0.8,
     seed: int = 9,
     work: Scratch | None = None,
 ) -> DataFrame:
     """(doc, th, dropped): the sorted numbers of the lines to drop, for documents (id, hash of the text) that have any.
 
-    Candidates are lines that agree in a whole band of minima and in ``agree`` of all minima: with 8 bands of 4 and 21 of
-    32 that is 95 % of pairs at similarity 0.8 and over 99 % at 0.87. Each bucket's members are checked against its most
-    frequent line, and joined; where members of a bucket are then still apart, the candidates across its components are
-    checked as well. So every candidate link counts, while lines that are alike already never make all their pairs.
+    Candidates are lines that agree in a whole band of minima: with 8 bands of 4 that is 98.5 % of pairs at similarity 0.8
+    and 99.9 % at 0.87. Each bucket's members are checked against its most frequent line, and joined; where members of a
+    bucket are then still apart, the candidates across its components are checked as well. So every candidate link counts,
+    while lines that are alike already never make all their pairs. No candidate is dropped for other minima: ``agree``
+    remains for callers that set it to 0.
     """
     need(docs, id_col, text_col)
     if one_in < 1 or one_in & one_in - 1:
         raise ValueError("one_in must be a power of two")
+    if agree:
+        raise ValueError("candidates are not filtered by their minima")
     work = work or Scratch(docs.sparkSession, "lines")
     lines = work.table(_lines(docs, id_col, text_col), "text_lines")
     known = work.table(_signatures(lines, work, width, rows, bands, one_in, seed), "signatures").withColumn("id", F.monotonically_increasing_id())
     work.drop("folded")
     work.drop("thin")
 
-    minima = rows * bands
-    slots = known.select("id", F.posexplode("signs").alias("nth", "sign")).select("id", "nth", F.explode("sign.keys").alias("key"))
-    lead = F.max_by(F.struct("id", "marks"), F.struct("times", F.bitwise_not("id"))).alias("lead")
+    slots = known.select("id", "times", F.explode("keys").alias("key"))
     heavy = work.table(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "heavy")
-    shared = work.table(slots.join(heavy, "key"), "shared")
-    signed = known.select("id", "times", "signs")
-    members = shared.join(signed, "id").select("key", "id", F.get("signs", F.col("nth"))["marks"].alias("marks"), "times")
-    members = work.table(members, "members")
-    work.drop("shared")
+    members = work.table(slots.join(heavy, "key").select("key", "id", "times"), "members")
     work.drop("heavy")
-    leads = members.groupBy("key").agg(lead).select("key", F.col("lead.id").alias("lead"), F.col("lead.marks").alias("lead_marks"))
-    pairs = members.join(leads, "key").where((F.col("id") != F.col("lead")) & (_agreeing("marks", "lead_marks", minima) >= agree))
+    leads = members.groupBy("key").agg(F.max_by("id", F.struct("times", F.bitwise_not("id"))).alias("lead"))
+    pairs = members.join(leads, "key").where(F.col("id") != F.col("lead"))
     pairs = work.table(pairs.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
     wanted = work.table(members.select("id").distinct(), "wanted")
     texts = known.join(wanted, "id", "left_semi").select("id", "h1", "h2", "doc")
@@ -206,16 +182,16 @@ def dropped_lines(
 
     links = _verified(pairs, texts, work, "links", width, similar)
     roots = work.table(connected_components(links, work), "roots")
-    placed = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "marks", F.coalesce("root", "id").alias("root"))
+    placed = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = work.table(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed = work.table(placed.join(mixed, "key", "left_semi"), "mixed")
     if not mixed.isEmpty():
         sized = work.table(mixed.join(mixed.groupBy("key").agg(F.count("*").alias("n")), "key"), "sized")
         few = sized.where(f"n < {_CROWD}")
-        left = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("marks").alias("ma"))
-        right = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("marks").alias("mb"))
-        apart = (left["key"] == right["key"]) & (F.col("ra") < F.col("rb")) & (_agreeing("ma", "mb", minima) >= agree)
+        left = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
+        right = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
+        apart = (left["key"] == right["key"]) & (F.col("ra") < F.col("rb"))
         near = left.join(right, apart).select("a", "b")
         crowded = work.table(_against_lead(sized.where(f"n >= {_CROWD}"), leads, texts, width), "crowded")
         near = near.unionByName(_may_be_alike(crowded, similar))
