@@ -21,56 +21,24 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(3), F.col("norm"))})
 
 
-#: Lines of up to LONG shingles have a signature over all of them, lines from SHORT on one over a sample; where both
-#: hold a line has both, so that any two lines whose sizes allow a similarity of 0.8 share a kind.
-SHORT, LONG = 76, 120
-#: A sample's signature with fewer than THIN different shingles in its minima tells too little: the line (of repeated
-#: words) gets one over all its shingles as well, and under BARE different ones that alone.
-BARE, THIN = 10, 16
-
-
-def _folded(lines: DataFrame, kinds: Column, width: int, rows: int, bands: int, seed: int) -> DataFrame:
-    """One row per distinct line and kind: h1, h2, kind, smallest doc, number of occurrences, a key per band, and spread,
-    the number of different shingles among the minima.
-
-    A line's shingles are exploded and folded into the minima before anything is shuffled, all in generated code, and
-    copies of a line meet in the same partial rows. The j-th permutation orders the 64-bit shingle hashes by their
-    exclusive or with a random number. A kind above 1 takes the shingles whose hash is a multiple of it: the same ones
-    in every line, so minima agree as often as over all shingles.
+def _signatures(lines: DataFrame, width: int, rows: int, bands: int, seed: int) -> DataFrame:
+    """One row per distinct line: h1, h2, smallest doc, number of occurrences, and a key per band.
+
+    A line's shingles, all of them whatever its length, are exploded and folded into the minima before anything is
+    shuffled, all in generated code, and copies of a line meet in the same partial rows. The j-th permutation orders the
+    64-bit shingle hashes by their exclusive or with a random number.
     """
     draw = random.Random(seed)
     salt = [draw.getrandbits(64) - (1 << 63) for _ in range(rows * bands)]
     wide = lines.select("doc", "h1", "h2", F.encode("norm", "UTF-16BE").alias("wide"))
     wide = wide.withColumn("last", F.greatest(F.expr(f"length(wide) div 2 - {width}").cast("int"), F.lit(0)))
-    wide = wide.select("doc", "h1", "h2", "wide", "last", F.explode(kinds).alias("kind"))
-    each = wide.select("doc", "h1", "h2", "wide", "kind", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    each = each.select("doc", "h1", "h2", "kind", "i", F.xxhash64(F.expr(f"substring(wide, 2 * i + 1, {2 * width})")).alias("x"))
-    taken = F.col("x").bitwiseAND(F.col("kind") - 1) == 0  # a multiple of it, as kinds are powers of two
-    each = each.where(taken | (F.col("i") == 0))
-    x = F.when(taken, F.col("x"))
-    low = [F.min(x.bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(salt)]
+    each = wide.select("doc", "h1", "h2", "wide", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    each = each.select("doc", "h1", "h2", "i", F.xxhash64(F.expr(f"substring(wide, 2 * i + 1, {2 * width})")).alias("x"))
+    low = [F.min(F.col("x").bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(salt)]
     times = F.sum(F.when(F.col("i") == 0, 1).otherwise(0))
-    found = each.groupBy("h1", "h2", "kind").agg(F.min("doc").alias("doc"), times.alias("times"), *low)
-    keys = [F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)], "kind", F.lit(b)) for b in range(bands)]
-    spread = F.size(F.array_distinct(F.array(*[F.col(f"m{j}").bitwiseXOR(F.lit(s)) for j, s in enumerate(salt)])))
-    return found.select(
-        "h1", "h2", "kind", "doc", "times",
-        F.when(F.col("m0").isNotNull(), F.array(*keys)).alias("sign"),
-        F.when(F.col("m0").isNotNull(), spread).otherwise(0).alias("spread"),
-    )
-
-
-def _signatures(lines: DataFrame, work: Scratch, width: int, rows: int, bands: int, one_in: int, seed: int) -> DataFrame:
-    """One row per distinct line: h1, h2, smallest doc, occurrences, and the band keys of its kinds."""
-    kinds = F.when(F.col("last") < SHORT - 1, F.array(F.lit(1))).when(F.col("last") >= LONG, F.array(F.lit(one_in))).otherwise(F.array(F.lit(1), F.lit(one_in)))
-    first = work.table(_folded(lines, kinds, width, rows, bands, seed), "folded")
-    thin = first.groupBy("h1", "h2").agg(F.min("kind").alias("least"), F.min("spread").alias("spread"))
-    thin = work.table(thin.where((F.col("least") > 1) & (F.col("spread") < THIN)).select("h1", "h2"), "thin")
-    again = lines.join(small_side(thin), ["h1", "h2"], "left_semi")
-    both = first.withColumn("sign", F.when((F.col("kind") == 1) | (F.col("spread") >= BARE), F.col("sign")))
-    if one_in > 1:
-        both = both.unionByName(_folded(again, F.array(F.lit(1)), width, rows, bands, seed))
-    return both.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("times").alias("times"), F.flatten(F.collect_list("sign")).alias("keys"))
+    found = each.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), times.alias("times"), *low)
+    keys = [F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)], F.lit(b)) for b in range(bands)]
+    return found.select("h1", "h2", "doc", "times", F.array(*keys).alias("keys"))
 
 
 def _shingle_set(wide: str, width: int) -> Column:
@@ -143,7 +111,6 @@ def dropped_lines(
     width: int = 8,
     rows: int = 4,
     bands: int = 8,
-    one_in: int = 4,
     agree: int = 0,
     similar: float = 0.8,
     seed: int = 9,
@@ -151,22 +118,18 @@ def dropped_lines(
 ) -> DataFrame:
     """(doc, th, dropped): the sorted numbers of the lines to drop, for documents (id, hash of the text) that have any.
 
-    Candidates are lines that agree in a whole band of minima: with 8 bands of 4 that is 98.5 % of pairs at similarity 0.8
+    Candidates are lines that agree in a whole band of minima over all their shingles: with 8 bands of 4 that is 98.5 % of pairs at similarity 0.8
     and 99.9 % at 0.87. Each bucket's members are checked against its most frequent line, and joined; where members of a
     bucket are then still apart, the candidates across its components are checked as well. So every candidate link counts,
     while lines that are alike already never make all their pairs. No candidate is dropped for other minima: ``agree``
     remains for callers that set it to 0.
     """
     need(docs, id_col, text_col)
-    if one_in < 1 or one_in & one_in - 1:
-        raise ValueError("one_in must be a power of two")
     if agree:
         raise ValueError("candidates are not filtered by their minima")
     work = work or Scratch(docs.sparkSession, "lines")
     lines = work.table(_lines(docs, id_col, text_col), "text_lines")
-    known = work.table(_signatures(lines, work, width, rows, bands, one_in, seed), "signatures").withColumn("id", F.monotonically_increasing_id())
-    work.drop("folded")
-    work.drop("thin")
+    known = work.table(_signatures(lines, width, rows, bands, seed), "signatures").withColumn("id", F.monotonically_increasing_id())
 
     slots = known.select("id", "times", F.explode("keys").alias("key"))
     heavy = work.table(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "heavy")

@@ -186,3 +186,9 @@ def lengthened(draw, n, more, count):
 def test_candidates_at_the_limit(spark):
     """Bands alone find 98.5 % of pairs at similarity 0.8; a filter on the other minima loses more."""
     assert missed_pairs(spark, lengthened(random.Random(3), 41, 10, 1500)) <= 35
+
+
+def test_long_lines_are_found_as_short_ones(spark):
+    """Signatures over a sample of the shingles lost more pairs of long lines."""
+    pairs = [p for n, more in ((125, 31), (150, 37), (250, 62)) for p in lengthened(random.Random(n), n, more, 500)]
+    assert missed_pairs(spark, pairs) <= 28
