@@ -192,3 +192,10 @@ def test_long_lines_are_found_as_short_ones(spark):
     """Signatures over a sample of the shingles lost more pairs of long lines."""
     pairs = [p for n, more in ((125, 31), (150, 37), (250, 62)) for p in lengthened(random.Random(n), n, more, 500)]
     assert missed_pairs(spark, pairs) <= 28
+
+
+def test_doubled_lines_meet(spark):
+    """A line and the same written twice differ in length but hardly in their shingles."""
+    draw = random.Random(4)
+    lines = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=78)) for _ in range(500)]
+    assert missed_pairs(spark, [(t, f"{t} {t}") for t in lines]) <= 2
