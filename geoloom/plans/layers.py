@@ -119,7 +119,7 @@ def kernel_layers(dem: DataFrame, grid: Grid, wanted: tuple[str, ...], *, tile_s
     return found.select("row", "col", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in ("dem", *names)])
 
 
-def tile_features(dem: DataFrame, grid: Grid, *, value: str = "v", long_window: int = 41, short_window: int = 7, max_radius: int = 64, **options) -> dict[str, DataFrame]:
+def tile_features(dem: DataFrame, grid: Grid, *, value: str = "v", long_window: int = 41, short_window: int = 7, max_radius: int | None = None, **options) -> dict[str, DataFrame]:
     """All sixteen layers as DataFrames by name: the kernel layers, nearest streams and ridges, focal and path statistics."""
     wanted = ("dem_smooth", "dem_cond", "slope", "curvature", "flow_accum", "streams", "geomorphons", "ridges")
     base = kernel_layers(dem, grid, wanted, value=value, **options)

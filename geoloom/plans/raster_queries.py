@@ -151,7 +151,7 @@ def nearest_stream(spark: SparkSession, sf: str) -> DataFrame:
 )
 def nearest_ridge(spark: SparkSession, sf: str) -> DataFrame:
     cells = lattice(spark, sf)
-    return nearest.nearest_unblocked(cells, targets(cells), barriers(cells), max_radius=16)
+    return nearest.nearest_unblocked(cells, targets(cells), barriers(cells))
 
 
 @query(
@@ -324,7 +324,7 @@ for _name, _layer in (("fill_depressions", "dem_cond"), ("d8_accumulation", "flo
 def tile_features(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and known values of each of the sixteen layers."""
     dem, g = _dem(spark, sf)
-    found = layers.tile_features(dem, g, long_window=11, short_window=7, max_radius=16, tile_size=50, halo=10, search=10, stream_threshold=20, ridge_size=4)
+    found = layers.tile_features(dem, g, long_window=11, short_window=7, tile_size=50, halo=10, search=10, stream_threshold=20, ridge_size=4)
     value = {n: next(c for c in ("v", "mean", "t_row") if c in d.columns) for n, d in found.items()}
     counts = [d.agg(F.lit(n).alias("layer"), F.count("*").alias("cells"), F.count(value[n]).alias("known")) for n, d in found.items()]
     out = counts[0]

@@ -68,6 +68,17 @@ def test_unblocked(spark):
     assert found[3] is None
 
 
+def test_unblocked_reaches_the_whole_raster(spark):
+    """The only target in sight may lie at the other end, behind others that are shut off."""
+    df = cells(spark, np.zeros((2, 150)))
+    goal = spark.createDataFrame([(0, 0), (1, 0), (0, 149)], "row int, col int")
+    wall = spark.createDataFrame([(0, 1), (1, 1)], "row int, col int")
+    found = {(r.row, r.col): (r.t_row, r.t_col, r.d2) for r in nearest.nearest_unblocked(df, goal, wall).collect()}
+    assert all(found[0, c] == (0, 149, (149 - c) ** 2) for c in range(2, 150))
+    assert all(found[1, c][:2] == (0, 149) for c in range(2, 150))
+    assert len(found) == 300
+
+
 def test_short_path_has_null_statistics(spark):
     df = cells(spark, HILLS)
     paths = spark.createDataFrame([(0, 0, 0, 2), (0, 0, 5, 9)], "row0 int, col0 int, row1 int, col1 int").withColumn("col0", F.col("col1") - F.col("col1"))
