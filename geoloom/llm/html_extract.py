@@ -38,7 +38,7 @@ _OPEN = {"article", "main"}
 
 
 class _Block:
-    """A line: its text, the part of it inside links, whether it is page furniture, and the elements it stands in."""
+    """A line: its text, the part of it inside links, whether it is page furniture, and the elements but paragraphs it stands in."""
 
     __slots__ = ("text", "linked", "chrome", "path")
 
@@ -79,7 +79,7 @@ def blocks(page: str) -> tuple[list[_Block], dict[int, bool]]:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                found.append(_Block(line, linked, bool(stack) and stack[-1][2], tuple(s[1] for s in stack)))
+                found.append(_Block(line, linked, bool(stack) and stack[-1][2], tuple(s[1] for s in stack if s[0] != "p")))
             text.clear()
         linked = 0
 
@@ -146,8 +146,9 @@ def main_text(page: str | None, *, window: int = 3) -> str:
 
     Lengths of text outside links are summed over windows of ``window`` lines, furniture counting as empty. The run of
     lines between a surge (the sum leaves zero) and the next dive (it returns to zero) that holds the most text is the
-    core. It is then widened to whole elements: the nearest article element around it, else the element that holds all
-    of it, so that short first and last paragraphs, and parts behind an advert, stay in.
+    core. It is then widened to whole elements: the article element around its longest line, else the nearest element
+    named as one that holds all of it, else the element that holds all of it, so that short first and last paragraphs, and
+    parts behind an advert, stay in.
     """
     found, names = blocks(page or "")
     size = np.array([0 if b.chrome else max(0, len(b.text) - b.linked) for b in found], np.int64)
@@ -167,21 +168,21 @@ def main_text(page: str | None, *, window: int = 3) -> str:
             n += 1
         shared = shared[:n]
     heavy = found[max(core, key=lambda k: size[k])].path
-    holders = [e for e in heavy if e in names]
-    exact = [e for e in holders if names[e]]
-    if exact or holders:
-        around = (exact or holders)[-1]
+    holders = [e for e in heavy if names.get(e)] or [e for e in shared if e in names]
+    if holders:
+        around = holders[-1]
         keep = [b.text for b in found if not b.chrome and around in b.path]
     elif len(shared) > 2:
         around = shared[-1]
         keep = [b.text for b in found if not b.chrome and around in b.path]
-    else:  # the article lies open in the page's body: walk out from the core over lines that aren't mere links
-        low, high = core[0], core[-1]
-        alike = lambda k: not found[k].chrome and size[k] > 0
-        while low and alike(low - 1):
+    else:  # the article lies open in the page's body: walk out from the core to lines that are mere links, past furniture
+        own = [k for k, b in enumerate(found) if not b.chrome]
+        low, high = own.index(core[0]), own.index(core[-1])
+        while low and size[own[low - 1]]:
             low -= 1
-        while high + 1 < len(found) and alike(high + 1):
+        while high + 1 < len(own) and size[own[high + 1]]:
             high += 1
+        low, high = own[low], own[high]
         keep = [b.text for b in found[low : high + 1] if not b.chrome]
     return " ".join(keep)
 

@@ -335,6 +335,26 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+HALVES = ["<p>The first half of the article is a paragraph of some length.</p>", "<p>The second half follows it further down.</p>"]
+ADVERT = "<div class='ad'><p>Buy</p><p>these</p><p>things</p><p>now</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><body><div id=content><div class=entry>{0}</div><div class=ad>Buy now</div><div class=entry>{1}</div></div></body></html>",
+        "<html><body><div>{2}{3}</div></body></html>",
+        "<html><body>{0}" + ADVERT + "{1}</body></html>",
+        "<html><body>{2}" + ADVERT + "{3}</body></html>",
+        "<body>{0}" + ADVERT + "{1}<ul><li><a href='/a'>More</a></li></ul></body>",
+    ],
+)
+def test_all_parts_of_an_article_stay(page):
+    """Parts in named elements side by side, marked paragraphs, and parts behind a long advert in the open body."""
+    marked = [h.replace("<p>", "<p class=story>") for h in HALVES]
+    assert html_extract.main_text(page.format(*HALVES, *marked)) == " ".join(h[3:-4] for h in HALVES)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("<>/!-\"'= pabdivscripthomen&;#1x\n"), max_size=80))
 def test_any_markup_is_read(page):
