@@ -35,12 +35,12 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/geoloom-{label}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
         at = f"{self.path}/{name}"
         before = self.spark.conf.get(_CLEAN)
         self.spark.conf.set(_CLEAN, "true")  # what was shuffled for a written table isn't needed again
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+            df.write.mode("overwrite").option("compression", codec).parquet(at)
         finally:
             self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(at)
@@ -72,13 +72,19 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def small_side(df: DataFrame, most: int = 32 << 20) -> DataFrame:
-    """A written table, marked for broadcast if its files hold at most ``most`` bytes; else left to a shuffled join."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    size = 0
-    for name in df.inputFiles():
-        at = jvm.org.apache.hadoop.fs.Path(name)
-        size += at.getFileSystem(conf).getFileStatus(at).getLen()
-        if size > most:
+def small_side(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """A written table, marked for broadcast if its rows take at most ``most`` bytes in memory; else left to a shuffled join.
+
+    Rows are counted; strings, binaries and arrays are measured.
+    """
+    wide = F.lit(16 + 8 * len(df.columns))
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        if kind == "array":
+            wide = wide + 8 + F.coalesce(F.size(field.name), F.lit(0)) * 8
+        elif kind in ("string", "binary"):
+            wide = wide + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind in ("map", "struct"):
             return df
-    return F.broadcast(df)
+    size = df.agg(F.sum(wide)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,69 +20,90 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(3), F.col("norm"))})
 
 
-def _signatures(lines: DataFrame, width: int, rows: int, bands: int, seed: int) -> DataFrame:
-    """One row per distinct line: h1, h2, smallest doc, number of occurrences, and a key per band.
+def _signatures(lines: DataFrame, width: int, seed: int) -> DataFrame:
+    """One row per distinct line: id, h1, h2, smallest doc, number of occurrences, and a key per band.
 
-    A line's shingles, all of them whatever its length, are exploded and folded into the minima before anything is
-    shuffled, all in generated code, and copies of a line meet in the same partial rows. The j-th permutation orders the
-    64-bit shingle hashes by their exclusive or with a random number.
+    A signature is 32 minima by one permutation: a shingle's hash falls into one of 32 bins, and each bin keeps its least
+    hash. All shingles of a line are exploded and folded in generated code before anything is shuffled, and copies of a
+    line meet in the same partial rows. Two neighbouring bins make a pair; an empty bin takes its neighbour's minimum, and
+    an empty pair that of the nearest pair that isn't empty, by exclusive or of their numbers. A band is two pairs that lie
+    half the bins apart: its four minima are of four shingles unless the line is very short.
+
+    Ids order lines by falling frequency; they are drawn once and written, so that later jobs all read the same ones.
     """
-    draw = random.Random(seed)
-    salt = [draw.getrandbits(64) - (1 << 63) for _ in range(rows * bands)]
+    half = _BINS // 4
     wide = lines.select("doc", "h1", "h2", F.encode("norm", "UTF-16BE").alias("wide"))
     wide = wide.withColumn("last", F.greatest(F.expr(f"length(wide) div 2 - {width}").cast("int"), F.lit(0)))
     each = wide.select("doc", "h1", "h2", "wide", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    each = each.select("doc", "h1", "h2", "i", F.xxhash64(F.expr(f"substring(wide, 2 * i + 1, {2 * width})")).alias("x"))
-    low = [F.min(F.col("x").bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(salt)]
-    times = F.sum(F.when(F.col("i") == 0, 1).otherwise(0))
-    found = each.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), times.alias("times"), *low)
-    keys = [F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)], F.lit(b)) for b in range(bands)]
-    return found.select("h1", "h2", "doc", "times", F.array(*keys).alias("keys"))
+    each = each.select("doc", "h1", "h2", "i", F.expr(f"shiftrightunsigned(xxhash64(substring(wide, 2 * i + 1, {2 * width}), {seed}), 32)").alias("x"))
+    each = each.select("doc", "h1", "h2", "i", "x", F.expr(f"shiftrightunsigned(x, {33 - _BINS.bit_length()})").alias("bin"))
+    low = [F.expr(f"min(x) FILTER (WHERE bin = {j})").alias(f"m{j}") for j in range(_BINS)]
+    found = each.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.expr("count(*) FILTER (WHERE i = 0)").alias("times"), *low)
 
+    def pair(g: int) -> Column:
+        a, b = F.col(f"m{2 * g}"), F.col(f"m{2 * g + 1}")
+        return F.when(a.isNotNull() | b.isNotNull(), F.xxhash64(F.coalesce(a, b), F.coalesce(b, a)))
 
-def _shingle_set(wide: str, width: int) -> Column:
-    """Distinct 64-bit hashes of a line's shingles, from its UTF-16 bytes."""
-    last = F.greatest(F.expr(f"length({wide}) div 2 - {width}").cast("int"), F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), 2 * last + 1, F.lit(2)), lambda at: F.xxhash64(F.substring(F.col(wide), at, F.lit(2 * width)))))
+    found = found.select("h1", "h2", "doc", "times", F.array(*[pair(g) for g in range(2 * half)]).alias("own"))
+    nearest = lambda g: F.coalesce(*[F.get("own", g.bitwiseXOR(F.lit(k))) for k in range(2 * half)])
+    found = found.withColumn("q", F.transform(F.sequence(F.lit(0), F.lit(2 * half - 1)), nearest))
+    keys = F.array(*[F.xxhash64(F.get("q", F.lit(g)), F.get("q", F.lit(g + half)), F.lit(g)) for g in range(half)])
+    number = (F.lit(255) - F.least("times", F.lit(255))) * F.lit(1 << 55) + F.monotonically_increasing_id()
+    return found.select(number.alias("id"), "h1", "h2", "doc", "times", keys.alias("keys"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, work: Scratch, name: str, width: int, similar: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity.
+def _shingle_set(wide: str, width: int) -> Column:
+    """Distinct 64-bit hashes of a line's shingles, from its UTF-16 bytes.
 
-    The sizes are written before they are compared: a filter above them would be pushed below, and take the sets anew for
-    each time that it names them.
+    The outer lambda binds the bytes once: named inside the inner one, the column would be copied for every shingle.
     """
-    left = texts.select(F.col("id").alias("a"), F.col("wide").alias("wa"))
-    right = texts.select(F.col("id").alias("b"), F.col("wide").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", _shingle_set("wa", width).alias("sa"), _shingle_set("wb", width).alias("sb"))
-    sizes = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    sizes = work.table(sizes, name)
-    return sizes.where(F.col("shared") >= similar * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
+    def hashes(line: Column) -> Column:
+        last = F.greatest(F.length(line) - F.lit(2 * width), F.lit(0))
+        return F.transform(F.sequence(F.lit(1), last + 1, F.lit(2)), lambda at: F.xxhash64(F.substring(line, at, F.lit(2 * width))))
 
-#: Buckets of this many lines or more are compared by what sets their lines apart from the bucket's lead.
-_CROWD = 6
-_WORDS = 8
+    return F.array_distinct(F.element_at(F.transform(F.array(wide), hashes), 1))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, leads: DataFrame, width: int) -> DataFrame:
+    """Sizes of the shingle sets of (lead, id), of what they share and, where ``crowded``, what id lacks (m) and has besides (e).
+
+    A lead's set is taken once, not once for each of its lines.
+    """
+    led = leads.select(F.col("id").alias("lead"), _shingle_set("wide", width).alias("led"))
+    both = pairs.join(texts.select("id", "wide"), "id").join(led, "lead")
+    both = both.select("lead", "id", "crowded", "led", _shingle_set("wide", width).alias("own"))
+    return both.select(
+        "lead", "id", "crowded", F.size("led").alias("n_lead"), F.size("own").alias("n_own"), F.size(F.array_intersect("led", "own")).alias("shared"),
+        F.when(F.col("crowded"), F.array_except("led", "own")).alias("m"), F.when(F.col("crowded"), F.array_except("own", "led")).alias("e"),
+    )
 
 
-def _against_lead(members: DataFrame, leads: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Each member (key, id, root) with its size, its lead's size, and bitmaps of the shingles that it lacks (m) and has
-    besides (e), with the numbers of those that a bitmap hides behind others (mh, eh)."""
-    members = members.select("key", "id", "root").join(leads.select("key", "lead"), "key")
-    rows = members.select("id", "lead").distinct()  # a line meets the same lead in most of its buckets
-    rows = rows.join(texts.select("id", "wide"), "id").join(texts.select(F.col("id").alias("lead"), F.col("wide").alias("lead_wide")), "lead")
-    rows = rows.select("id", "lead", _shingle_set("wide", width).alias("own"), _shingle_set("lead_wide", width).alias("led"))
-    rows = rows.select("id", "lead", F.size("own").alias("size"), F.size("led").alias("led"), F.array_except("led", "own").alias("m"), F.array_except("own", "led").alias("e"))
+def _alike(sizes: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of at least that Jaccard similarity."""
+    near = F.col("shared") >= similar * (F.col("n_lead") + F.col("n_own") - F.col("shared"))
+    return sizes.where(near).select(F.col("lead").alias("a"), F.col("id").alias("b"))
 
-    def word(name: str, k: int) -> Column:
-        mine = F.filter(name, lambda x: F.shiftrightunsigned(x, 20).bitwiseAND(F.lit(_WORDS - 1)) == k)
-        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, 30).bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
-    rows = rows.withColumns({f"{c}{k}": word(c, k) for c in "me" for k in range(_WORDS)})
+_BINS = 32
+#: Buckets of this many lines or more are compared by what sets their lines apart from the bucket's lead.
+_CROWD = 6
+_WORDS = 8
+#: A bucket's lines are dealt by such a number to a task, each of which meets all lines of the bucket.
+_DEAL = 256
+
+
+def _bitmaps(sizes: DataFrame) -> DataFrame:
+    """Of each crowded pair (lead, id): bitmaps of the shingles that id lacks (m0 to m7) and has besides (e0 to e7), and
+    how many of those a bitmap hides behind others (mh, eh)."""
+    rows = sizes.where("crowded").select("lead", "id", F.size("m").alias("mn"), F.size("e").alias("en"), F.posexplode_outer(F.concat("m", "e")).alias("pos", "x"))
+    rows = rows.withColumn("word", F.expr(f"IF(pos < mn, 0, {_WORDS}) + (shiftrightunsigned(x, 20) & {_WORDS - 1})"))
+    rows = rows.withColumn("bit", F.expr("shiftleft(1L, CAST(shiftrightunsigned(x, 30) & 63 AS INT))"))
+    names = [f"{c}{k}" for c in "me" for k in range(_WORDS)]
+    maps = [F.expr(f"coalesce(bit_or(bit) FILTER (WHERE word = {k}), 0L)").alias(n) for k, n in enumerate(names)]
+    found = rows.groupBy("lead", "id").agg(F.max("mn").alias("mn"), F.max("en").alias("en"), *maps)
     shown = {c: reduce(lambda a, b: a + b, [F.bit_count(f"{c}{k}") for k in range(_WORDS)]) for c in "me"}
-    rows = rows.withColumns({f"{c}n": F.size(c) for c in "me"} | {f"{c}h": F.size(c) - shown[c] for c in "me"}).drop("m", "e")
-    return members.join(rows, ["id", "lead"])
+    return found.withColumns({f"{c}h": F.col(f"{c}n") - shown[c] for c in "me"})
 
 
 def _may_be_alike(rows: DataFrame, similar: float) -> DataFrame:
@@ -91,16 +111,40 @@ def _may_be_alike(rows: DataFrame, similar: float) -> DataFrame:
 
     With L the lead, A lacks m(A) of it and has e(A) besides, and so |A & B| = |L| - |m(A)| - |m(B)| + |m(A) & m(B)| +
     |e(A) & e(B)|. Bitmaps bound the last two from above: common bits, and what either map hides. The bound is tight where
-    lines are small changes of one text, which is what fills a bucket, and it never loses a pair.
+    lines are small changes of one text, which is what fills a bucket, and it never loses a pair. A large bucket's left
+    sides are dealt to several tasks, and its right sides go to each of them.
     """
-    names = [f"{c}{k}" for c in "me" for k in range(_WORDS)] + ["mn", "mh", "eh", "size", "root"]
-    left = rows.select("key", "led", F.col("id").alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
-    right = rows.select(F.col("key").alias("b_key"), F.col("id").alias("b"), *[F.col(n).alias(f"b_{n}") for n in names])
+    names = [f"{c}{k}" for c in "me" for k in range(_WORDS)] + ["mn", "en", "mh", "eh", "n_own", "root"]
+    parts = F.ceil(F.col("n") / _DEAL).cast("int")
+    left = rows.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("n_lead").alias("led"), F.col("id").alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
+    right = rows.select(F.col("key").alias("b_key"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("b_part"), F.col("id").alias("b"), *[F.col(n).alias(f"b_{n}") for n in names])
     common = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}{k}").bitwiseAND(F.col(f"b_{c}{k}"))) for c in "me" for k in range(_WORDS)])
     hidden = F.least("a_mh", "b_mh") + F.least("a_eh", "b_eh")
-    shared = F.col("led") - F.col("a_mn") - F.col("b_mn") + common + hidden
-    reach = shared * (1 + similar) >= similar * (F.col("a_size") + F.col("b_size"))
-    return left.join(right, (F.col("key") == F.col("b_key")) & (F.col("a_root") < F.col("b_root")) & reach).select("a", "b")
+    needed = F.lit(similar / (1 + similar)) * (F.col("a_n_own") + F.col("b_n_own")) - 1e-6
+    sizes = F.col("led") - F.greatest("a_mn", "b_mn") + F.least("a_en", "b_en") >= needed  # the same bound without the maps
+    reach = sizes & (F.col("led") - F.col("a_mn") - F.col("b_mn") + common + hidden >= needed)
+    same = (F.col("key") == F.col("b_key")) & (F.col("part") == F.col("b_part"))
+    return left.join(right, same & (F.col("a_root") < F.col("b_root")) & reach).select("a", "b")
+
+
+def _across(members: DataFrame, roots: DataFrame, sizes: DataFrame, similar: float, work: Scratch) -> DataFrame | None:
+    """Candidates (lead, id) between the components that a bucket's check against its lead left apart; None if there are none."""
+    placed = members.join(small_side(roots), members["id"] == roots["node"], "left").select("key", "id", "n", "lead", F.coalesce("root", "id").alias("root"))
+    placed = work.table(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    mixed = work.table(placed.join(mixed, "key", "left_semi").where("id <> lead"), "mixed")
+    if mixed.isEmpty():
+        return None
+    few = mixed.where(F.col("n") < _CROWD)
+    left = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
+    right = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
+    near = left.join(right, (left["key"] == right["key"]) & (F.col("ra") < F.col("rb"))).select("a", "b")
+    crowded = mixed.where(F.col("n") >= _CROWD).join(sizes.select("lead", "id", "n_lead", "n_own"), ["lead", "id"])
+    crowded = work.table(crowded.join(_bitmaps(sizes), ["lead", "id"]), "crowded")
+    near = near.unionByName(_may_be_alike(crowded, similar))
+    near = near.select(F.least("a", "b").alias("lead"), F.greatest("a", "b").alias("id")).distinct()
+    done = sizes.select(F.least("lead", "id").alias("lead"), F.greatest("lead", "id").alias("id"))
+    return near.join(done, ["lead", "id"], "left_anti").withColumn("crowded", F.lit(False))
 
 
 def dropped_lines(
@@ -109,73 +153,60 @@ def dropped_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 8,
-    rows: int = 4,
-    bands: int = 8,
-    agree: int = 0,
     similar: float = 0.8,
     seed: int = 9,
     work: Scratch | None = None,
 ) -> DataFrame:
     """(doc, th, dropped): the sorted numbers of the lines to drop, for documents (id, hash of the text) that have any.
 
-    Candidates are lines that agree in a whole band of minima over all their shingles: with 8 bands of 4 that is 98.5 % of pairs at similarity 0.8
-    and 99.9 % at 0.87. Each bucket's members are checked against its most frequent line, and joined; where members of a
-    bucket are then still apart, the candidates across its components are checked as well. So every candidate link counts,
-    while lines that are alike already never make all their pairs. No candidate is dropped for other minima: ``agree``
-    remains for callers that set it to 0.
+    Candidates are lines that agree in one of 8 bands of four minima. Each bucket's members are checked against its most
+    frequent line, and joined; where members of a bucket are then still apart, the candidates across its components are
+    checked as well. So every candidate link counts, while lines that are alike already never make all their pairs.
     """
     need(docs, id_col, text_col)
-    if agree:
-        raise ValueError("candidates are not filtered by their minima")
     work = work or Scratch(docs.sparkSession, "lines")
-    lines = work.table(_lines(docs, id_col, text_col), "text_lines")
-    known = work.table(_signatures(lines, width, rows, bands, seed), "signatures").withColumn("id", F.monotonically_increasing_id())
-
-    slots = known.select("id", "times", F.explode("keys").alias("key"))
-    heavy = work.table(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "heavy")
-    members = work.table(slots.join(heavy, "key").select("key", "id", "times"), "members")
-    work.drop("heavy")
-    leads = members.groupBy("key").agg(F.max_by("id", F.struct("times", F.bitwise_not("id"))).alias("lead"))
-    pairs = members.join(leads, "key").where(F.col("id") != F.col("lead"))
-    pairs = work.table(pairs.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
-    wanted = work.table(members.select("id").distinct(), "wanted")
-    texts = known.join(wanted, "id", "left_semi").select("id", "h1", "h2", "doc")
-    where = lines.select("doc", "h1", "h2", "norm").join(texts, ["doc", "h1", "h2"]).dropDuplicates(["id"])
-    texts = work.table(where.select("id", F.encode("norm", "UTF-16BE").alias("wide")), "texts")
-
-    links = _verified(pairs, texts, work, "links", width, similar)
+    lines = work.table(_lines(docs, id_col, text_col), "text_lines", codec="lz4")
+    known = work.table(_signatures(lines, width, seed), "signatures")
+
+    slots = known.select("id", F.explode("keys").alias("key"))
+    heads = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.max("id").alias("last")).where("n > 1")
+    heads = work.table(heads, "heads")
+    larger = small_side(work.table(heads.where("n > 2").select("key", "n", "lead"), "larger"))
+    members = work.table(slots.join(larger, "key"), "members")
+    pairs = heads.where("n = 2").select("lead", F.col("last").alias("id"), F.lit(False).alias("crowded"))
+    pairs = pairs.unionByName(members.where("id <> lead").select("lead", "id", (F.col("n") >= _CROWD).alias("crowded")))
+    pairs = work.table(pairs.groupBy("lead", "id").agg(F.max("crowded").alias("crowded")), "pairs")
+    wanted = pairs.select("id", F.lit(False).alias("leads")).unionByName(pairs.select(F.col("lead").alias("id"), F.lit(True).alias("leads")))
+    wanted = small_side(work.table(wanted.groupBy("id").agg(F.max("leads").alias("leads")), "wanted"))
+    wanted = small_side(work.table(known.select("id", "h1", "h2", "doc").join(wanted, "id"), "located"))
+    texts = lines.select("doc", "h1", "h2", "norm").join(wanted, ["doc", "h1", "h2"]).dropDuplicates(["id"])
+    texts = work.table(texts.select("id", "leads", F.encode("norm", "UTF-16BE").alias("wide")), "texts")
+
+    sizes = work.table(_compared(pairs, texts, texts.where("leads"), width), "sizes")
+    links = _alike(sizes, similar)
     roots = work.table(connected_components(links, work), "roots")
-    placed = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    placed = work.table(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mixed = work.table(placed.join(mixed, "key", "left_semi"), "mixed")
-    if not mixed.isEmpty():
-        sized = work.table(mixed.join(mixed.groupBy("key").agg(F.count("*").alias("n")), "key"), "sized")
-        few = sized.where(f"n < {_CROWD}")
-        left = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-        right = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-        apart = (left["key"] == right["key"]) & (F.col("ra") < F.col("rb"))
-        near = left.join(right, apart).select("a", "b")
-        crowded = work.table(_against_lead(sized.where(f"n >= {_CROWD}"), leads, texts, width), "crowded")
-        near = near.unionByName(_may_be_alike(crowded, similar))
-        across = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _verified(across.join(pairs, ["a", "b"], "left_anti"), texts, work, "more", width, similar)
+    across = _across(members, roots, sizes, similar, work)
+    if across is not None:
+        across = work.table(across, "across")
+        leads = texts.join(small_side(across.select(F.col("lead").alias("id")).distinct()), "id", "left_semi")
+        more = _alike(work.table(_compared(across, texts, leads, width), "more"), similar)
         if not more.isEmpty():
             roots = work.table(connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), work), "all_roots")
-    for name in ("members", "pairs", "wanted", "texts", "links", "placed", "mixed", "more", "sized", "crowded"):
+    for name in ("heads", "larger", "members", "pairs", "wanted", "located", "texts", "sizes", "placed", "mixed", "across", "more", "crowded"):
         work.drop(name)
 
     tops = roots.select("root").distinct().select(F.col("root").alias("node"), "root")
-    named = known.join(roots.unionByName(tops), known["id"] == F.col("node"), "left").select("h1", "h2", "doc", "times", F.coalesce("root", "id").alias("root"), "node")
-    named = named.where("times > 1 OR node IS NOT NULL")
+    grouped = small_side(work.table(roots.unionByName(tops), "grouped"))
+    named = known.join(grouped, known["id"] == grouped["node"], "left").select("h1", "h2", "doc", "times", F.coalesce("root", "id").alias("root"), "node")
+    named = work.table(named.where("times > 1 OR node IS NOT NULL"), "named")
     first = named.groupBy("root").agg(F.min("doc").alias("keep"))
-    named = work.table(named.join(first, "root").select("h1", "h2", "root", "keep"), "named")
+    named = small_side(work.table(named.join(first, "root").select("h1", "h2", "root", "keep"), "kept"))
     hits = lines.select("doc", "th", "pos", "h1", "h2").join(named, ["h1", "h2"])
     nth = F.min("pos").over(Window.partitionBy("doc", "th", "root"))
     hits = hits.withColumn("nth", nth).where(~(F.col("doc").eqNullSafe(F.col("keep")) & (F.col("pos") == F.col("nth"))))
     found = hits.groupBy("doc", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     found = work.table(found, "dropped")
-    for name in ("named", "signatures", "roots", "all_roots", "text_lines"):
+    for name in ("grouped", "named", "kept", "signatures", "roots", "all_roots", "text_lines"):
         work.drop(name)
     return found
 
