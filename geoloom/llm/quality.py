@@ -113,6 +113,10 @@ def chi2_quantile(q: float, k: float) -> float:
 # -- minimum covariance determinant ------------------------------------------------------------------------------
 
 
+#: Centres that concentration begins from: the medians, and points one scale off them, by coordinate.
+STARTS = [[0.0] * 5, [1.0] * 5, [-1.0] * 5, [1.0, -1.0, 1.0, -1.0, 1.0], [-1.0, 1.0, -1.0, 1.0, -1.0]]
+
+
 def _z(params: str = "") -> list[Column]:
     """The whitened vector, by forward substitution with the Cholesky factor in columns l_ij and the centre m_i."""
     z: list[Column] = []
@@ -139,8 +143,9 @@ def _param_names() -> list[str]:
     return [f"m_{i}" for i in range(_P)] + [f"l_{i}{j}" for i in range(_P) for j in range(i + 1)]
 
 
-def _median_start(rows: DataFrame, work: Scratch) -> DataFrame:
-    """First centres and scales: medians and median deviations, from counts per bin of 1/64 (exact to a bin).
+def _starts(rows: DataFrame, work: Scratch) -> DataFrame:
+    """First centres and scales: medians and median deviations, from counts per bin of 1/64 (exact to a bin), and the
+    centres that ``STARTS`` moves by such deviations.
 
     Rows are counted per (group, coordinate, bin) before the shuffle, so that a group of any size sends a bounded number
     of counts.
@@ -157,10 +162,11 @@ def _median_start(rows: DataFrame, work: Scratch) -> DataFrame:
     centre = work.table(medians(rows), "medians")
     off = rows.join(small_side(centre), "g").select("g", *[F.abs(F.col(x) - F.col(f"v_{i}")).alias(x) for i, x in enumerate(VECTOR)])
     scale = medians(off).select("g", *[F.col(f"v_{i}").alias(f"s_{i}") for i in range(_P)])
-    start = centre.join(scale, "g")
+    start = centre.join(scale, "g").select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.lit(s).alias("side")) for k, s in enumerate(STARTS)])).alias("at"))
     zero = {f"l_{i}{j}": F.lit(0.0) for i in range(_P) for j in range(i)}
     diag = {f"l_{i}{i}": F.greatest(F.col(f"s_{i}") * 1.4826, F.lit(FLOOR[i])) for i in range(_P)}
-    return start.withColumns({f"m_{i}": F.col(f"v_{i}") for i in range(_P)} | zero | diag).select("g", *_param_names())
+    start = start.select("*", "at.start", "at.side").withColumns(zero | diag)
+    return start.withColumns({f"m_{i}": F.col(f"v_{i}") + F.col("side")[i] * F.col(f"l_{i}{i}") for i in range(_P)}).select("g", "start", *_param_names())
 
 
 def _c_step(rows: DataFrame, params: DataFrame, keep: float, factor: float) -> DataFrame:
@@ -173,24 +179,32 @@ def _c_step(rows: DataFrame, params: DataFrame, keep: float, factor: float) -> D
     off = [F.col(x) - F.col(f"m_{i}") for i, x in enumerate(VECTOR)]
     pairs = [(i, j) for i in range(_P) for j in range(i + 1)]
     sums = [F.sum(off[i]).alias(f"s_{i}") for i in range(_P)] + [F.sum(off[i] * off[j]).alias(f"s_{i}{j}") for i, j in pairs]
-    binned = near.groupBy("g", F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**-20))) * _PER_DOUBLING).alias("bin")).agg(F.count("*").alias("n"), *sums)
-    w = Window.partitionBy("g")
+    binned = near.groupBy("g", "start", F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**-20))) * _PER_DOUBLING).alias("bin")).agg(F.count("*").alias("n"), *sums)
+    w = Window.partitionBy("g", "start")
     before = F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     inner = binned.withColumns({"before": before, "all": F.sum("n").over(w)}).where(F.col("before") < F.ceil(F.col("all") * keep))
     names = [f"s_{i}" for i in range(_P)] + [f"s_{i}{j}" for i, j in pairs]
-    total = inner.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
-    old = params.select("g", *[F.col(f"m_{i}").alias(f"o_{i}") for i in range(_P)])
+    total = inner.groupBy("g", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+    old = params.select("g", "start", *[F.col(f"m_{i}").alias(f"o_{i}") for i in range(_P)])
     mean = [F.col(f"s_{i}") / F.col("n") for i in range(_P)]
     cov = {f"c_{i}{j}": (F.col(f"s_{i}{j}") / F.col("n") - mean[i] * mean[j]) * factor + (FLOOR[i] ** 2 if i == j else 0.0) for i, j in pairs}
-    found = total.join(old, "g").withColumns({f"m_{i}": F.col(f"o_{i}") + mean[i] for i in range(_P)} | cov)
-    return _cholesky(found).select("g", *_param_names())
+    found = total.join(old, ["g", "start"]).withColumns({f"m_{i}": F.col(f"o_{i}") + mean[i] for i in range(_P)} | cov)
+    return _cholesky(found).select("g", "start", *_param_names())
+
+
+def _least_determinant(params: DataFrame) -> DataFrame:
+    """Of each group's estimates the one whose covariance has the least determinant; of equals the first start's."""
+    size = reduce(lambda a, b: a + b, [F.log(F.col(f"l_{i}{i}")) for i in range(_P)])
+    best = params.groupBy("g").agg(F.min_by(F.struct("start", *_param_names()), F.struct(size.alias("size"), "start")).alias("p"))
+    return best.select("g", "p.*")
 
 
 def fit(vectors: DataFrame, work: Scratch, *, keep: float = 0.75, steps: int = 5, min_rows: int = 100) -> DataFrame:
     """Estimates per group for rows (lang, source, x0..x4): columns g, m_i and l_ij.
 
     Groups are each (lang, source), each lang, and all rows; ``group_keys`` tells which of them a row is judged by.
-    Starting from coordinate medians, ``steps`` concentration steps follow. The covariance has FLOOR squared on its
+    From every start, the coordinate medians and points about them, two concentration steps are taken; from the one that
+    has reached the least determinant then, the rest of ``steps``. The covariance has FLOOR squared on its
     diagonal (a regularised MCD), which keeps it invertible where a statistic hardly varies, and the factor that makes
     the truncated covariance consistent at the normal distribution.
     """
@@ -199,12 +213,13 @@ def fit(vectors: DataFrame, work: Scratch, *, keep: float = 0.75, steps: int = 5
     groups = work.table(sizes.where((F.col("n") >= min_rows) | F.col("g").startswith("0")).select("g"), "groups")
     rows = work.table(vectors.select(F.explode(group_keys()).alias("g"), *VECTOR).join(small_side(groups), "g", "left_semi"), "vectors")
     factor = keep / chi2_cdf(chi2_quantile(keep, _P), _P + 2)
-    params = work.table(_median_start(rows, work), "params0")
+    params = work.table(_starts(rows, work), "params0")
     for k in range(1, steps + 1):
-        params = work.table(_c_step(rows, small_side(params), keep, factor), f"params{k}")
+        params = _c_step(rows, small_side(params), keep, factor)
+        params = work.table(_least_determinant(params) if k == min(2, steps) else params, f"params{k}")
         work.drop(f"params{k - 1}")
     work.drop("vectors")
-    return params
+    return params.drop("start")
 
 
 def group_keys() -> Column:
