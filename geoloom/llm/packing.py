@@ -15,7 +15,7 @@ from .common import Scratch, need
 from .tokens import word_bpe
 
 _FIELDS = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int32(), "crc": pa.int64()}
-_BIN = "part int, settled boolean, fill int, doc_id array<bigint>, piece array<int>, start array<bigint>, length array<int>, crc array<bigint>"
+_BIN = "part int, settled boolean, fill int, doc_id array<bigint>, piece array<int>, start array<bigint>, length array<int>, crc array<bigint>, offset array<int>"
 
 
 def pieces_of(ids: bytes, limit: int) -> list[tuple[int, int, int, int]]:
@@ -68,6 +68,10 @@ def _merge(held: pa.Table, part: int, limit: int, slack: int, carry: int, last:
         column = lists.column(name).combine_chunks()
         inner = np.r_[0, np.cumsum(column.value_lengths().to_numpy())]  # each bin's list is its items' lists in a row
         columns[name] = pa.ListArray.from_arrays(pa.array(inner[np.r_[0, ends].astype(np.int64)].astype(np.int32)), column.flatten())
+    sizes = columns["length"].flatten().to_numpy()
+    upto = np.cumsum(sizes, dtype=np.int64) - sizes  # ahead of an item, less what is ahead of its bin
+    ahead = np.repeat(np.r_[0, np.cumsum(fill[:-1], dtype=np.int64)], np.diff(columns["length"].offsets.to_numpy())) if len(fill) else upto
+    columns["offset"] = pa.ListArray.from_arrays(columns["length"].offsets, pa.array((upto - ahead).astype(np.int32)))
     return pa.table(columns)
 
 
@@ -85,7 +89,7 @@ def packed(
     local: int = 1 << 16,
     work: Scratch | None = None,
 ) -> DataFrame:
-    """Sequences of at most ``limit`` tokens: sequence_id, fill, and arrays doc_id, piece, start, length, crc.
+    """Sequences of at most ``limit`` tokens: sequence_id, fill, and arrays doc_id, piece, start, length, crc, offset.
 
     Every partition tokenises its documents and packs each ``local`` pieces best-fit; bins with at most ``slack`` free
     tokens are settled. The others become items of the next round, in which ``fan_in`` parts meet, up to a single part.
@@ -145,20 +149,13 @@ def pack_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", **op
     packed like any other; empty input gives an empty result; further columns are ignored.
     """
     bins = packed(docs, tokenizer, id_col=id_col, **options)
-    each = bins.select("sequence_id", F.explode(F.arrays_zip("doc_id", "piece", "start", "length", "crc", _starts("length").alias("offset"))).alias("p"))
+    each = bins.select("sequence_id", F.explode(F.arrays_zip("doc_id", "piece", "start", "length", "crc", "offset")).alias("p"))
     return each.select(
         F.col("p.doc_id").alias(id_col), "p.piece", "p.start", F.col("p.length").cast("bigint").alias("length"),
-        F.col("p.crc").alias("ids_crc32"), "sequence_id", "p.offset",
+        F.col("p.crc").alias("ids_crc32"), "sequence_id", F.col("p.offset").cast("bigint").alias("offset"),
     )
 
 
-def _starts(lengths: str):
-    """Running sums that begin with 0, for arrays of at most a few thousand lengths."""
-    n = F.size(lengths)
-    total = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.transform(F.sequence(F.lit(0), n - 1), total)
-
-
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
