@@ -108,3 +108,28 @@ def test_packing(stages):
     before, after = stages["best_fit_packing"]
     check_packing(after.collect(), [(r.doc_id, r.text) for r in before.collect()], 2048)
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_odd_and_empty_rows(name, stage, odd, empty, small, spark):
+    """Nulls, blanks, repeats, a text of 1 MB and clashing column names: no crash, the columns stay, ids come from the input."""
+    long = spark.range(1).selectExpr("77L AS doc_id", "repeat('some words of a long text\n', 40000) AS text", "'en' AS lang", "'s1' AS source", "1040000L AS n_chars")
+    docs = odd.unionByName(long, allowMissingColumns=True).selectExpr("*", "1 AS n_lines", "'y' AS n_dropped", "2 AS fingerprint")
+    found = stage(spark, docs, small)
+    ids = [r.doc_id for r in found.select("doc_id").collect()]
+    assert set(ids) <= {r.doc_id for r in docs.select("doc_id").collect()}
+    if name != "best_fit_packing":
+        assert found.columns == docs.columns
+        assert len(ids) <= docs.count()
+    if name in ("toxicity", "line_dedup"):
+        assert len(ids) == docs.count()
+    assert stage(spark, empty, small).count() == 0
+
+
+def test_pipelines_stand_side_by_side(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    first = corpus_pipeline.pack(spark, docs, small)
+    n = first.count()
+    corpus_pipeline.drop_low_quality(spark, docs, small).count()
+    corpus_pipeline.drop_near_copies(spark, docs, small).count()
+    assert first.count() == n
