@@ -57,9 +57,16 @@ def dense(cells: DataFrame, spark: SparkSession, grid: Grid) -> DataFrame:
     return lattice.join(cells, ["row", "col"], "left")
 
 
-def window(cells: DataFrame, row_off: int, col_off: int, height: int, width: int) -> DataFrame:
-    """The cells of a window; on files sorted by tile the comparison prunes row groups."""
-    return cells.where(F.col("row").between(row_off, row_off + height - 1) & F.col("col").between(col_off, col_off + width - 1))
+def window(cells: DataFrame, row_off: int, col_off: int, height: int, width: int, *, fill: bool = False) -> DataFrame:
+    """The cells of a window; on files sorted by tile the comparison prunes row groups.
+
+    With ``fill`` every place of the window has a row, NULL where there is no cell: beyond the raster's edge too.
+    """
+    found = cells.where(F.col("row").between(row_off, row_off + height - 1) & F.col("col").between(col_off, col_off + width - 1))
+    if not fill:
+        return found
+    places = cells.sparkSession.range(height * width).selectExpr(f"CAST(id div {width} + ({row_off}) AS int) AS row", f"CAST(id % {width} + ({col_off}) AS int) AS col")
+    return places.join(found, ["row", "col"], "left")
 
 
 def tile_grid(spark: SparkSession, grid: Grid, tile_size: int = 5000, overlap: float = 0.0) -> DataFrame:

@@ -276,9 +276,14 @@ def crop_core(spark: SparkSession, sf: str) -> DataFrame:
     return grids.crop_core(grids.with_halo(cells, 25, 6, grid(cells)), 25).select("row", "col", "v", "tile_row", "tile_col")
 
 
-@query("window_read", f'WITH {LATTICE} SELECT r AS "row", c AS col, v FROM lattice WHERE r BETWEEN 3 AND 8 AND c BETWEEN 90 AND 99')
+@query(
+    "window_read",
+    f"""WITH {LATTICE}, w AS (SELECT a AS r, unnest(range(90, 110)) AS c FROM (SELECT unnest(range(-2, 9)) AS a))
+    SELECT CAST(w.r AS INT) AS "row", CAST(w.c AS INT) AS col, v FROM w LEFT JOIN lattice l ON l.r = w.r AND l.c = w.c""",
+)
 def window_read(spark: SparkSession, sf: str) -> DataFrame:
-    return grids.window(lattice(spark, sf).select("row", "col", "v"), 3, 90, 6, 20)
+    """A window that reaches beyond the upper and the right edge."""
+    return grids.window(lattice(spark, sf).select("row", "col", "v"), -2, 90, 11, 20, fill=True)
 
 
 @query(

@@ -7,6 +7,8 @@ from . import raster_queries, series_queries, vector_queries
 #: Columns of dates, which both sides give as text so that no client's date type comes into a comparison.
 _DATES = {
     "zonal_daily_mean": ("date",),
+    "zonal_daily_scaled": ("date",),
+    "days_with_any_value": ("date",),
     "zonal_pivot": ("date",),
     "unpivot_series": ("date",),
     "interval_expand_last_wins": ("date",),

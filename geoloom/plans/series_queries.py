@@ -47,21 +47,21 @@ def zonal_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "zonal_pivot",
-    f"""WITH {LATTICE} SELECT CAST(ts AS DATE) AS date, {", ".join(f'round(avg(CASE WHEN user_id % 20 = {z} THEN v END) + 1e-7, 4) AS z{z}' for z in range(4))}
+    f"""WITH {LATTICE} SELECT CAST(ts AS DATE) AS date, {", ".join(f'round(avg(CASE WHEN user_id % 20 = {z} THEN v END) + 1e-7, 4) AS z{z}' for z in range(20))}
     FROM lattice GROUP BY 1""",
 )
 def zonal_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    wide = series.wide_series(_daily(spark, sf, 1.0), list(range(4)))
-    return rounded(wide.select("date", *[F.col(str(z)).alias(f"z{z}") for z in range(4)]), *[f"z{z}" for z in range(4)])
+    wide = series.wide_series(_daily(spark, sf, 1.0), list(range(20)))
+    return rounded(wide.select("date", *[F.col(str(z)).alias(f"z{z}") for z in range(20)]), *[f"z{z}" for z in range(20)])
 
 
 @query(
     "unpivot_series",
-    f"""WITH {LATTICE}, w AS (SELECT CAST(ts AS DATE) AS date, user_id % 20 AS z, round(avg(v) + 1e-7, 4) AS value FROM lattice WHERE user_id % 20 < 4 GROUP BY 1, 2),
-    d AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM lattice) SELECT d.date, 'z' || k AS zone_id, value FROM d CROSS JOIN (SELECT unnest(range(0, 4)) AS k) LEFT JOIN w ON w.date = d.date AND w.z = k""",
+    f"""WITH {LATTICE}, w AS (SELECT CAST(ts AS DATE) AS date, user_id % 20 AS z, round(avg(v) + 1e-7, 4) AS value FROM lattice GROUP BY 1, 2),
+    d AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM lattice) SELECT d.date, 'z' || k AS zone_id, value FROM d CROSS JOIN (SELECT unnest(range(0, 20)) AS k) LEFT JOIN w ON w.date = d.date AND w.z = k""",
 )
 def unpivot(spark: SparkSession, sf: str) -> DataFrame:
-    return series.long_series(zonal_pivot(spark, sf), [f"z{z}" for z in range(4)])
+    return series.long_series(zonal_pivot(spark, sf), [f"z{z}" for z in range(20)])
 
 
 @query(
@@ -376,9 +376,22 @@ def with_points(spark: SparkSession, sf: str) -> DataFrame:
     return observations.basins_with_points(table(spark, sf, "nation").select("n_nationkey", "n_name"), points, key="n_nationkey")
 
 
-@query("complete_rows", f'WITH {LATTICE} SELECT r AS "row", c AS col, v FROM lattice WHERE v IS NOT NULL AND event_type IN (\'view\', \'click\')')
+@query("complete_rows", f'WITH {LATTICE} SELECT r AS "row", c AS col, v FROM lattice WHERE v IS NOT NULL')
 def complete(spark: SparkSession, sf: str) -> DataFrame:
-    return lattice(spark, sf).where(F.col("event_type").isin("view", "click")).select("row", "col", "v").na.drop(how="any")
+    return lattice(spark, sf).select("row", "col", "v").na.drop(how="any")
+
+
+@query("days_with_any_value", f"""WITH {LATTICE}, w AS (SELECT CAST(ts AS DATE) AS date, avg(CASE WHEN event_type = 'view' THEN v END) AS a, avg(CASE WHEN event_type = 'error' THEN v END) AS b FROM lattice GROUP BY 1)
+    SELECT date, round(a + 1e-7, 4) AS view, round(b + 1e-7, 4) AS error FROM w WHERE a IS NOT NULL OR b IS NOT NULL""")
+def any_value(spark: SparkSession, sf: str) -> DataFrame:
+    mean = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("v"))).alias(kind)
+    days = lattice(spark, sf).groupBy(F.to_date("ts").alias("date")).agg(mean("view"), mean("error"))
+    return rounded(days.na.drop(how="all", subset=["view", "error"]), "view", "error")
+
+
+@query("zonal_daily_scaled", f"WITH {LATTICE} SELECT CAST(ts AS DATE) AS date, user_id % 20 AS zone_id, round(avg(v) * 0.0001 + 1e-9, 6) AS value FROM lattice GROUP BY 1, 2")
+def zonal_scaled(spark: SparkSession, sf: str) -> DataFrame:
+    return _daily(spark, sf).withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
 @query("clamped", "SELECT c_custkey, greatest(least(c_acctbal, 5000), 0) AS v FROM customer")

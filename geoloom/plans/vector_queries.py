@@ -153,11 +153,35 @@ def albers_back(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(there.select("c_custkey", lon.alias("lon"), lat.alias("lat")), "lon", "lat", to=5)
 
 
-@query("dissolve", "SELECT n_regionkey, CAST(count(*) AS INT) AS parts, round(sum(14.0 * (n_nationkey % 7 + 4) ** 2) + 1e-7, 4) AS area FROM nation GROUP BY 1")
+def _sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Squares of 3 to 7 units around 45 by 45 places, many of which overlap or touch."""
+    side, x, y = F.expr("CAST(3 + s_suppkey % 5 AS DOUBLE)"), F.expr("CAST(s_suppkey * 7 % 40 AS DOUBLE)"), F.expr("CAST(s_suppkey * 13 % 41 AS DOUBLE)")
+    corner = lambda i, j: F.struct((x + i * side).alias("x"), (y + j * side).alias("y"))
+    ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
+    return table(spark, sf, "supplier").select("s_nationkey", F.array(F.array(ring)).alias("geom"))
+
+
+_SITES = """s AS (SELECT s_nationkey, s_suppkey * 7 % 40 AS x, s_suppkey * 13 % 41 AS y, 3 + s_suppkey % 5 AS side FROM supplier)"""
+
+
+@query(
+    "dissolve",
+    f"""WITH {_SITES}, cx AS (SELECT *, unnest(range(x, x + side)) AS i FROM s), cells AS (SELECT DISTINCT s_nationkey, i, unnest(range(y, y + side)) AS j FROM cx)
+    SELECT s_nationkey, CAST(count(*) AS DOUBLE) AS area FROM cells GROUP BY 1""",
+)
 def dissolve(spark: SparkSession, sf: str) -> DataFrame:
-    shapes = polygons(spark, sf).join(table(spark, sf, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
-    found = spatial.dissolved(shapes, by=("n_regionkey",))
-    return rounded(found.select("n_regionkey", F.size("geom").alias("parts"), geo.area("geom").alias("area")), "area")
+    return rounded(spatial.dissolved(_sites(spark, sf), by=("s_nationkey",)).select("s_nationkey", geo.area("geom").alias("area")), "area")
+
+
+@query(
+    "dissolved_members",
+    f"""WITH {_SITES}, p AS (SELECT c_custkey, c_nationkey, c_custkey % 97 * 0.5 + 0.25 AS x, c_custkey % 89 * 0.53 + 0.125 AS y FROM customer)
+    SELECT c_custkey FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s_nationkey = 0 AND p.x BETWEEN s.x AND s.x + side AND p.y BETWEEN s.y AND s.y + side)""",
+)
+def dissolved_members(spark: SparkSession, sf: str) -> DataFrame:
+    at = table(spark, sf, "customer").selectExpr("c_custkey", "CAST(c_custkey % 97 * 0.5 + 0.25 AS DOUBLE) AS x", "CAST(c_custkey % 89 * 0.53 + 0.125 AS DOUBLE) AS y")
+    whole = spatial.dissolved(_sites(spark, sf).where("s_nationkey = 0"))
+    return spatial.clip_points(at, whole, point_key="c_custkey", size=20.0).select("c_custkey")
 
 
 @query("simplify")

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 
 def exists(df: DataFrame, path: str) -> bool:
+    """Whether a finished write is there: a file, or a folder that its job marked as whole."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(conf).exists(at)
+    files = at.getFileSystem(conf)
+    return files.exists(at) and (files.getFileStatus(at).isFile() or files.exists(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")))
 
 
 def write(df: DataFrame, path: str, *, overwrite: bool = False, partition_by: tuple[str, ...] = (), fmt: str = "parquet", **options) -> bool:
-    """Write unless the path exists and ``overwrite`` is not set; tells whether it wrote."""
+    """Write unless a finished write is at the path and ``overwrite`` is not set; tells whether it wrote."""
     if not overwrite and exists(df, path):
         return False
     writer = df.write.format(fmt).mode("overwrite").options(**options)
