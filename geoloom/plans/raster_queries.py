@@ -72,12 +72,24 @@ def slope(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(focal.slope(lattice(spark, sf)), "slope")
 
 
-@query("profile_curvature")
+@query(
+    "profile_curvature",
+    f"""WITH {LATTICE}, n AS (
+      SELECT a.r, a.c, CAST(a.v AS DOUBLE) AS v, {", ".join(f"CAST(coalesce({k}.v, a.v) AS DOUBLE) AS {k}" for k in ("e", "se", "s", "sw", "w", "nw", "n", "ne"))}
+      FROM lattice a {" ".join(f"LEFT JOIN lattice {k} ON {k}.r = a.r + {dr} AND {k}.c = a.c + {dc}" for k, dr, dc in (("e", 0, 1), ("se", 1, 1), ("s", 1, 0), ("sw", 1, -1), ("w", 0, -1), ("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1)))}),
+    p AS (SELECT r, c, v, ((w + e) / 2 - v) / 900 AS d, ((n + s) / 2 - v) / 900 AS ee, (ne + sw - nw - se) / 3600 AS f, (e - w) / 60 AS g, (n - s) / 60 AS h FROM n)
+    SELECT r AS "row", c AS col, CASE WHEN v IS NULL THEN NULL WHEN g * g + h * h > 0 THEN round(-2 * (d * g * g + ee * h * h + f * g * h) / (g * g + h * h) + 1e-7, 6) ELSE 0.0 END AS curvature FROM p""",
+)
 def curvature(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(focal.profile_curvature(lattice(spark, sf)), "curvature", to=6)
 
 
-@query("gaussian_smooth")
+@query(
+    "gaussian_smooth",
+    f"""WITH {LATTICE}, p AS (SELECT a.r, a.c, any_value(a.v) AS v, sum(b.v * exp(-((a.r - b.r) ** 2 + (a.c - b.c) ** 2) / 2.0)) AS x, sum(exp(-((a.r - b.r) ** 2 + (a.c - b.c) ** 2) / 2.0)) AS w
+      FROM lattice a LEFT JOIN lattice b ON b.v IS NOT NULL AND b.r BETWEEN a.r - 3 AND a.r + 3 AND b.c BETWEEN a.c - 3 AND a.c + 3 GROUP BY 1, 2)
+    SELECT r AS "row", c AS col, CASE WHEN v IS NOT NULL THEN round(x / w + 1e-7, 4) END AS smooth FROM p""",
+)
 def gaussian(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(focal.gaussian(lattice(spark, sf)), "smooth")
 

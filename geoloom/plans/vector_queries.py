@@ -107,7 +107,14 @@ def zone_cells(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.zone_cells(polygons(spark, sf), Grid(1.0, 0.0, 1.0, 0.0, g.width, g.height), key="n_nationkey")
 
 
-@query("clip_to_box", None)
+@query(
+    "clip_to_box",
+    """WITH o AS (SELECT n_nationkey, (n_nationkey % 5) * 20 + 10 AS cx, (n_nationkey // 5) * 20 + 10 AS cy, n_nationkey % 7 + 4 AS a FROM nation),
+    s AS (SELECT *, unnest(range(0, 50)) + 0.5 AS y FROM o),
+    w AS (SELECT n_nationkey, cx, CASE WHEN abs(y - cy) <= a THEN 2 * a WHEN abs(y - cy) <= 2 * a THEN 3 * a - abs(y - cy) END AS h FROM s),
+    b AS (SELECT n_nationkey, CAST(greatest(0, least(cx + h, 50) - greatest(cx - h, 0)) AS DOUBLE) AS wide FROM w WHERE h IS NOT NULL)
+    SELECT n_nationkey, round(sum(wide) + 1e-7, 4) AS area FROM b GROUP BY 1 HAVING sum(wide) > 0""",
+)
 def clip_box(spark: SparkSession, sf: str) -> DataFrame:
     cut = spatial.clip_to_box(polygons(spark, sf), 0.0, 0.0, 50.0, 50.0)
     return rounded(cut.select("n_nationkey", geo.area("geom").alias("area")), "area")
