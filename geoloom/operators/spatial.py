@@ -51,7 +51,7 @@ def clip_points(points: DataFrame, polygons: DataFrame, *, point_key: str, size:
 
 
 def clip_to_box(polygons: DataFrame, minx: float, miny: float, maxx: float, maxy: float, *, geom: str = "geom") -> DataFrame:
-    """Polygons cut to a box (Sutherland and Hodgman 1974), ring by ring; empty ones are dropped."""
+    """Polygons cut to a box (Sutherland and Hodgman 1974), ring by ring; those that keep no area are dropped."""
 
     def clip(ring: Column, axis: str, limit: float, keep_above: bool) -> Column:
         other = "y" if axis == "x" else "x"
@@ -83,7 +83,7 @@ def clip_to_box(polygons: DataFrame, minx: float, miny: float, maxx: float, maxy
     out = polygons
     for axis, limit, above in (("x", minx, True), ("x", maxx, False), ("y", miny, True), ("y", maxy, False)):
         out = out.withColumn(geom, F.filter(F.transform(geom, side(axis, limit, above)), lambda p: F.size(p) > 0))
-    return out.where(F.size(geom) > 0)
+    return out.where(F.size(geom) > 0).where(geo.area(geom) > 0)
 
 
 def dissolved(polygons: DataFrame, *, by: tuple[str, ...] = (), geom: str = "geom", fan: int = 16) -> DataFrame:
