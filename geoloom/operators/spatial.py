@@ -22,10 +22,17 @@ def _squares(low: Column, high: Column, size: float) -> Column:
 
 
 def candidates(points: DataFrame, polygons: DataFrame, size: float, *, geom: str = "geom") -> DataFrame:
-    """Pairs of a point (x, y) and a polygon whose bounds hold it; squares of side ``size`` are the join's key."""
+    """Pairs of a point (x, y) and a polygon whose bounds hold it; squares of side ``size`` are the join's key.
+
+    A square gets only the edges that a ray from it to the right can meet: those of its band that reach as far. So an
+    outline isn't copied to every square that it covers.
+    """
     shapes = prepared(polygons, geom=geom)
-    shapes = shapes.withColumn("__sx", F.explode(_squares(F.col("__minx"), F.col("__maxx"), size)))
-    shapes = shapes.withColumn("__sy", F.explode(_squares(F.col("__miny"), F.col("__maxy"), size)))
+    band, place = F.col("__sy"), F.col("__sx")
+    crossed = lambda e: (F.floor(F.least(e["y1"], e["y2"]) / size) <= band) & (F.floor(F.greatest(e["y1"], e["y2"]) / size) >= band)
+    shapes = shapes.withColumn("__sy", F.explode(_squares(F.col("__miny"), F.col("__maxy"), size))).withColumn("__edges", F.filter("__edges", crossed))
+    ahead = lambda e: F.floor(F.greatest(e["x1"], e["x2"]) / size) >= place
+    shapes = shapes.withColumn("__sx", F.explode(_squares(F.col("__minx"), F.col("__maxx"), size))).withColumn("__edges", F.filter("__edges", ahead))
     at = points.withColumns({"__sx": F.floor(F.col("x") / size), "__sy": F.floor(F.col("y") / size)})
     inside = F.col("x").between(F.col("__minx"), F.col("__maxx")) & F.col("y").between(F.col("__miny"), F.col("__maxy"))
     return at.join(shapes, ["__sx", "__sy"]).where(inside)
@@ -144,25 +151,53 @@ def simplified(polygons: DataFrame, tolerance: float, *, geom: str = "geom") ->
 
 
 def zone_cells(polygons: DataFrame, grid: Grid, *, key: str, geom: str = "geom") -> DataFrame:
-    """(key, row, col, small): cells whose centre a polygon holds; where there are none, the cells that it touches.
+    """(key, row, col, small): cells whose centre a polygon holds; where a key has none, the cells that its edges meet.
 
-    ``small`` marks the latter. Polygons that miss the grid give no rows.
+    ``small`` marks the latter. Scan lines: an edge goes to the rows of cells that it crosses, and a row's sorted
+    crossings are the ends of its runs of columns. Polygons that miss the grid give no rows, nor do null keys; of equal
+    polygons of a key one counts.
     """
-    shapes = prepared(polygons, geom=geom)
-    r1, c1 = grid.cell(F.col("__minx"), F.col("__miny"))
-    r2, c2 = grid.cell(F.col("__maxx"), F.col("__maxy"))
-    rows = F.sequence(F.greatest(F.least(r1, r2), F.lit(0)), F.least(F.greatest(r1, r2), F.lit(grid.height - 1)))
-    cols = F.sequence(F.greatest(F.least(c1, c2), F.lit(0)), F.least(F.greatest(c1, c2), F.lit(grid.width - 1)))
-    meets = (F.greatest(r1, r2) >= 0) & (F.least(r1, r2) < grid.height) & (F.greatest(c1, c2) >= 0) & (F.least(c1, c2) < grid.width)
-    cells = shapes.where(meets).withColumn("row", F.explode(rows)).withColumn("col", F.explode(cols))
-    x, y = grid.centre(F.col("row"), F.col("col"))
-    x0, y0 = grid.corner(F.col("row"), F.col("col"))
-    x1, y1 = grid.corner(F.col("row") + 1, F.col("col") + 1)
-    box = (F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))
-    touched = F.exists("__edges", lambda e: geo.box_hits_edge(e, *box))
-    marked = cells.select(key, "row", "col", geo.intersects(F.col("__edges"), x, y).alias("centre"), touched.alias("touched"))
-    any_centre = marked.groupBy(key).agg(F.max("centre").alias("__any"))
-    return marked.join(any_centre, key).where(F.col("centre") | (~F.col("__any") & F.col("touched"))).select(key, "row", "col", (~F.col("__any")).alias("small"))
+    shapes = prepared(polygons.where(F.col(key).isNotNull()), geom=geom)
+    (ra, ca), (rb, cb) = grid.cell(F.col("__minx"), F.col("__miny")), grid.cell(F.col("__maxx"), F.col("__maxy"))
+    reach = {"__r0": F.least(ra, rb), "__r1": F.greatest(ra, rb), "__c0": F.least(ca, cb), "__c1": F.greatest(ca, cb)}
+    edge = shapes.withColumns(reach).select(key, F.xxhash64("__edges").alias("__id"), *reach, F.posexplode("__edges").alias("__i", "e"))
+    (r1, c1), (r2, c2) = grid.cell(F.col("e.x1"), F.col("e.y1")), grid.cell(F.col("e.x2"), F.col("e.y2"))
+
+    def span(a: Column, b: Column, size: int) -> Column:
+        low, high = F.greatest(F.least(a, b) - 1, F.lit(0)), F.least(F.greatest(a, b) + 1, F.lit(size - 1))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    def columns(low: Column, high: Column) -> Column:
+        """Columns from one x to another, and one more on either side; what lies between is up to a filter."""
+        return span(grid.cell(low, F.lit(0.0))[1], grid.cell(high, F.lit(0.0))[1], grid.width)
+
+    line = edge.withColumn("row", F.explode(span(r1, r2, grid.height)))
+    e, y = F.col("e"), grid.centre(F.col("row"), F.lit(0))[1]
+    at = lambda col: grid.centre(F.lit(0), col)[0]
+    level = e["y1"] == e["y2"]
+    crossing = F.when(~level, (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(~level, e["y2"] - e["y1"]) + e["x1"])
+    meets = y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+    on = F.filter(columns(F.coalesce(crossing, e["x1"]), F.coalesce(crossing, e["x2"])), lambda c: geo.on_edge(e, at(c), y))
+    line = line.where(meets).select(key, "__id", "row", F.when((e["y1"] > y) != (e["y2"] > y), F.struct(crossing.alias("x"), F.col("__i").alias("i"))).alias("cut"), on.alias("on"))
+    line = line.groupBy(key, "__id", "row").agg(F.transform(F.array_sort(F.collect_set("cut")), lambda c: c["x"]).alias("cut"), F.flatten(F.collect_set("on")).alias("on"))
+    pairs = F.when(F.size("cut") > 1, F.sequence(F.lit(0), F.size("cut") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+    def run(k: Column) -> Column:
+        low, high = F.get(F.col("cut"), k), F.get(F.col("cut"), k + 1)
+        return F.filter(columns(low, high), lambda c: (at(c) >= low) & (at(c) < high))
+
+    held = line.select(key, "row", F.array_distinct(F.concat(F.flatten(F.transform(pairs, run)), "on")).alias("cols")).where(F.size("cols") > 0)
+    thin = edge.join(held.select(key).distinct(), key, "left_anti").withColumn("row", F.explode(span(r1, r2, grid.height)))
+    y0, y1 = grid.corner(F.col("row"), F.lit(0))[1], grid.corner(F.col("row") + 1, F.lit(0))[1]
+    low, high = F.least(y0, y1), F.greatest(y0, y1)
+    x_at = lambda y: F.when(level, e["x1"]).otherwise((e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(~level, e["y2"] - e["y1"]) + e["x1"])
+    bottom, top = F.greatest(low, F.least(e["y1"], e["y2"])), F.least(high, F.greatest(e["y1"], e["y2"]))
+    thin = thin.where(bottom <= top).withColumn("col", F.explode(columns(x_at(bottom), F.when(level, e["x2"]).otherwise(x_at(top)))))
+    x0, x1 = grid.corner(F.lit(0), F.col("col"))[0], grid.corner(F.lit(0), F.col("col") + 1)[0]
+    own = F.col("row").between(F.col("__r0"), F.col("__r1")) & F.col("col").between(F.col("__c0"), F.col("__c1"))
+    thin = thin.where(own & geo.box_hits_edge(e, F.least(x0, x1), low, F.greatest(x0, x1), high)).select(key, "row", "col").distinct()
+    centred = held.select(key, "row", F.explode("cols").alias("col"), F.lit(False).alias("small"))
+    return centred.unionByName(thin.withColumn("small", F.lit(True)))
 
 
 def mask_outside(cells: DataFrame, zones: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..grid import Grid, with_halo
 from ..operators import focal, lines, nearest, terrain
+from ..scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -122,13 +123,13 @@ def kernel_layers(dem: DataFrame, grid: Grid, wanted: tuple[str, ...], *, tile_s
 def tile_features(dem: DataFrame, grid: Grid, *, value: str = "v", long_window: int = 41, short_window: int = 7, max_radius: int | None = None, **options) -> dict[str, DataFrame]:
     """All sixteen layers as DataFrames by name: the kernel layers, nearest streams and ridges, focal and path statistics."""
     wanted = ("dem_smooth", "dem_cond", "slope", "curvature", "flow_accum", "streams", "geomorphons", "ridges")
-    base = kernel_layers(dem, grid, wanted, value=value, **options)
+    base = Scratch(dem.sparkSession, "layers").table(kernel_layers(dem, grid, wanted, value=value, **options), "base")  # the kernels run once
     layer = lambda n: base.select("row", "col", F.col(n).alias("v"))
     streams = base.where("streams = 1").select("row", "col")
     ridge = base.where("ridges = 1").select("row", "col")
     out = {"dem": layer("dem")} | {n: layer(n) for n in wanted}
     out["nearest_stream_coords"] = to_stream = nearest.nearest_feature(layer("dem_cond"), streams, grid)
-    out["nearest_ridge_coords"] = nearest.nearest_unblocked(base.where("dem_cond IS NOT NULL"), ridge, streams, max_radius=max_radius)
+    out["nearest_ridge_coords"] = nearest.nearest_feature_unblocked(layer("dem_cond"), ridge, streams, grid, max_radius=max_radius)
     for name, source in (("grad", "slope"), ("hessian", "curvature")):
         out[f"long_{name}_stats"] = focal.square_stats(layer(source), long_window)
         out[f"short_{name}_stats"] = focal.square_stats(layer(source), short_window)

@@ -153,17 +153,19 @@ def nearest_stream(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {BARRIERS},
     origin AS (SELECT l.r AS r0, l.c AS c0, EXISTS (SELECT 1 FROM targets t WHERE t.r = l.r AND t.c = l.c) AS own,
                       EXISTS (SELECT 1 FROM barriers b WHERE b.r = l.r AND b.c = l.c) AS free FROM lattice l),
-    cand AS (SELECT r0, c0, own, free, t.r AS r1, t.c AS c1, (t.r - r0) * (t.r - r0) + (t.c - c0) * (t.c - c0) AS d2
-             FROM origin JOIN targets t ON t.r BETWEEN r0 - 16 AND r0 + 16 AND t.c BETWEEN c0 - 16 AND c0 + 16
-             WHERE (t.r - r0) * (t.r - r0) + (t.c - c0) * (t.c - c0) <= 256 AND (NOT own OR (t.r = r0 AND t.c = c0))),
-    {line_sql("cand", "own, free")},
-    hit AS (SELECT DISTINCT r0, c0, r1, c1 FROM line JOIN barriers b ON b.r = lr AND b.c = lc WHERE NOT own AND NOT free),
+    cand AS (SELECT r0, c0, own, free, t.r AS r1, t.c AS c1, (t.r - r0) * (t.r - r0) + (t.c - c0) * (t.c - c0) AS d2,
+                    greatest(abs(t.r - r0), abs(t.c - c0)) AS n, least(abs(t.r - r0), abs(t.c - c0)) AS m, abs(t.r - r0) > abs(t.c - c0) AS steep
+             FROM origin, targets t WHERE NOT own OR (t.r = r0 AND t.c = c0)),
+    met AS (SELECT r0, c0, r1, c1, steep, n, m, abs(b.r - r0) AS br, abs(b.c - c0) AS bc FROM cand JOIN barriers b
+            ON b.r BETWEEN least(r0, r1) AND greatest(r0, r1) AND b.c BETWEEN least(c0, c1) AND greatest(c0, c1) WHERE NOT own AND NOT free AND n > 0),
+    hit AS (SELECT DISTINCT r0, c0, r1, c1 FROM met WHERE CASE WHEN steep THEN bc = (2 * br * m + n - 1) // (2 * n) ELSE br = (2 * bc * m + n - 1) // (2 * n) END),
     ok AS (SELECT *, row_number() OVER (PARTITION BY r0, c0 ORDER BY d2, r1, c1) AS nth FROM cand ANTI JOIN hit USING (r0, c0, r1, c1))
-    SELECT o.r0 AS "row", o.c0 AS col, ok.r1 AS t_row, ok.c1 AS t_col, ok.d2 FROM origin o LEFT JOIN ok ON ok.r0 = o.r0 AND ok.c0 = o.c0 AND nth = 1""",
+    SELECT o.r0 AS "row", o.c0 AS col, ok.r1 AS t_row, ok.c1 AS t_col, 1000.0 + (ok.c1 + 0.5) * 30 AS x, 50000.0 - (ok.r1 + 0.5) * 30 AS y, z.value AS z
+    FROM origin o LEFT JOIN ok ON ok.r0 = o.r0 AND ok.c0 = o.c0 AND nth = 1 LEFT JOIN lattice z ON z.r = ok.r1 AND z.c = ok.c1""",
 )
 def nearest_ridge(spark: SparkSession, sf: str) -> DataFrame:
     cells = lattice(spark, sf)
-    return nearest.nearest_unblocked(cells, targets(cells), barriers(cells))
+    return nearest.nearest_feature_unblocked(cells, targets(cells), barriers(cells), grid(cells), value="value")
 
 
 @query(

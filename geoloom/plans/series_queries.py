@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, features, names
 from ..operators import models, nearest, observations, series
-from .tables import LATTICE, NEAREST, TARGETS, grid, lattice, rounded, table, targets
+from .tables import LATTICE, NEAREST, TARGETS, grid, lattice, line_sql, rounded, table, targets
 
 QUERIES = {}
 SQL = {}
@@ -277,7 +277,17 @@ def prototype(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "feature_table",
-    None,
+    f"""WITH {TARGETS}, {NEAREST}, p AS (SELECT c_custkey, 1000.0 + (c_custkey % 100) * 30.0 + 15 AS x, 50000.0 - (c_custkey % 10) * 30.0 - 15 AS y,
+      CAST(c_custkey % 10 AS INT) AS r, CAST(c_custkey % 100 AS INT) AS c FROM customer),
+    s AS (SELECT p.*, l.v AS z, 1000.0 + (tc + 0.5) * 30 AS stream_x, 50000.0 - (tr + 0.5) * 30 AS stream_y, g.value AS stream_z
+      FROM p JOIN lattice l ON l.r = p.r AND l.c = p.c JOIN near n ON n.r = p.r AND n.c = p.c JOIN lattice g ON g.r = tr AND g.c = tc),
+    f AS (SELECT c_custkey, CASE WHEN count(l.v) >= 4 THEN avg(l.v) END AS short_mean FROM p JOIN lattice l ON l.r BETWEEN p.r - 3 AND p.r + 3 AND l.c BETWEEN p.c - 3 AND p.c + 3 GROUP BY 1),
+    ends AS (SELECT DISTINCT n.r AS r0, n.c AS c0, tr AS r1, tc AS c1 FROM near n JOIN p ON n.r = p.r AND n.c = p.c), {line_sql("ends")},
+    t AS (SELECT r0, c0, CASE WHEN count(l.v) >= 4 THEN avg(l.v) END AS stream_mean FROM line LEFT JOIN lattice l ON l.r = lr AND l.c = lc GROUP BY 1, 2),
+    d AS (SELECT s.*, short_mean, stream_mean, sqrt((x - stream_x) ** 2 + (y - stream_y) ** 2) AS dist_stream, z - stream_z AS alt_stream
+      FROM s JOIN f ON f.c_custkey = s.c_custkey JOIN t ON t.r0 = s.r AND t.c0 = s.c)
+    SELECT c_custkey, x, y, r AS "row", c AS col, {", ".join(f"round({k} + 1e-7, 4) AS {k}" for k in ("z", "short_mean", "stream_mean", "stream_x", "stream_y", "stream_z", "dist_stream", "alt_stream"))},
+      round(alt_stream / greatest(dist_stream, 30) + 1e-7, 4) AS ratio_stream FROM d WHERE z IS NOT NULL AND short_mean IS NOT NULL AND stream_mean IS NOT NULL AND stream_z IS NOT NULL""",
 )
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """Observation points with sampled focal and path statistics, nearest coordinates and ratios, complete rows only."""
@@ -295,7 +305,8 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     out = spatial.sample_points(obs, layers, g, key="c_custkey")
     dist = features.distance(F.col("x"), F.col("y"), F.col("stream_x"), F.col("stream_y"))
     out = out.withColumns({"dist_stream": dist, "alt_stream": F.col("z") - F.col("stream_z")})
-    return out.withColumn("ratio_stream", features.floored_ratio(F.col("alt_stream"), F.col("dist_stream"))).na.drop(how="any")
+    out = out.withColumn("ratio_stream", features.floored_ratio(F.col("alt_stream"), F.col("dist_stream"))).na.drop(how="any")
+    return rounded(out, *[c for c in out.columns if c not in ("c_custkey", "x", "y", "row", "col")])
 
 
 @query(
@@ -352,6 +363,12 @@ def subsets(spark: SparkSession, sf: str) -> DataFrame:
     return models.feature_subsets(spark, [f"f{k}" for k in range(8)]).groupBy("size").agg(F.count("*").alias("n"))
 
 
+@query("subset_search")
+def subset_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _model_rows(spark, sf).withColumn("group", F.substring("p_brand", 1, 7))
+    return models.subset_search(rows, ["size", "k", "n"], label="p_retailprice", group="group", least=2, numTrees=5, maxDepth=4)
+
+
 @query(
     "gridded_month_box",
     f"""WITH {LATTICE} SELECT strftime(ts, '%Y-%m-%d') AS date, r AS lat, c AS lon, CASE WHEN v <> 0.5 THEN v END AS v FROM lattice

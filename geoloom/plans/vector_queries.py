@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.projection import Albers
+from ..grid import Grid
 from ..operators import observations, spatial
 from .tables import grid, lattice, rounded, table
 
@@ -101,12 +102,26 @@ def usable(spark: SparkSession, sf: str) -> DataFrame:
     SELECT k AS n_nationkey, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, false AS small FROM z WHERE odd OR edge""",
 )
 def zone_cells(spark: SparkSession, sf: str) -> DataFrame:
-    from ..grid import Grid
-
     g = grid(lattice(spark, sf))
     return spatial.zone_cells(polygons(spark, sf), Grid(1.0, 0.0, 1.0, 0.0, g.width, g.height), key="n_nationkey")
 
 
+@query(
+    "cutline_mask",
+    f"""WITH {_POLY}, cell AS (SELECT CAST(event_id // 100 AS INT) AS r, CAST(event_id % 100 AS INT) AS c, CASE WHEN event_type <> 'error' THEN value END AS v FROM events),
+    z AS (SELECT k, r, c, any_value(v) AS v, sum(CASE WHEN (y1 > r + 0.5) <> (y2 > r + 0.5) AND c + 0.5 < (x2 - x1) * (r + 0.5 - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1 AS odd,
+      bool_or((c + 0.5 - x1) * (y2 - y1) - (r + 0.5 - y1) * (x2 - x1) = 0 AND c + 0.5 BETWEEN least(x1, x2) AND greatest(x1, x2) AND r + 0.5 BETWEEN least(y1, y2) AND greatest(y1, y2)) AS edge
+      FROM cell, edge WHERE k = 6 OR k = 13 GROUP BY 1, 2, 3)
+    SELECT r AS "row", c AS col, any_value(v) AS v FROM z WHERE odd OR edge GROUP BY 1, 2""",
+)
+def cutline_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """The raster within a cutline of two polygons."""
+    cells = lattice(spark, sf)
+    g = grid(cells)
+    zones = spatial.zone_cells(polygons(spark, sf).where("n_nationkey IN (6, 13)"), Grid(1.0, 0.0, 1.0, 0.0, g.width, g.height), key="n_nationkey")
+    return spatial.mask_outside(cells.select("row", "col", "v"), zones.where("NOT small"))
+
+
 @query(
     "clip_to_box",
     """WITH o AS (SELECT n_nationkey, (n_nationkey % 5) * 20 + 10 AS cx, (n_nationkey // 5) * 20 + 10 AS cy, n_nationkey % 7 + 4 AS a FROM nation),

@@ -1,9 +1,12 @@
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from geoloom import grid as grids
+from geoloom.functions import geometry as geo
 from geoloom.operators import focal, lines, mosaic, nearest, observations, series, spatial, terrain
 from geoloom.plans import layers
 from geoloom.sources import readers, writers
@@ -206,3 +209,56 @@ def test_catalog(spark):
         catalog.of_product(found, "other", "NDVI").collect()
     urls = spark.createDataFrame([(1, ["x.xml", "x.hdf"])], "g int, urls array<string>")
     assert catalog.first_match(urls, key="g").first().url == "x.hdf"
+
+
+def test_zone_cells_against_every_cell(spark):
+    """Random outlines, some with holes, many with corners on cell corners and centres, against a look at every cell."""
+    rnd = np.random.default_rng(5)
+    grid = grids.Grid(1.5, 3.0, -1.25, 45.0, 30, 24)
+    shapes = []
+    for k in range(60):
+        centre, r = rnd.uniform([-5, 10], [55, 50]), rnd.uniform(0.05, 1) if k % 3 == 0 else rnd.uniform(1, 20)
+        angles = np.sort(rnd.uniform(0, 2 * np.pi, rnd.integers(3, 9)))
+        rings = [centre + s * np.stack([np.cos(angles), np.sin(angles)], 1) for s in ([r, r / 3] if k % 5 == 0 else [r])]
+        rings = [np.round(a * 4) / 4 if k % 2 else a for a in rings]
+        shapes.append([[(float(x), float(y)) for x, y in [*a, a[0]]] for a in rings])
+    want = set()
+    for k, rings in enumerate(shapes):
+        edges = [(p, q) for ring in rings for p, q in itertools.pairwise(ring)]
+
+        def holds(x, y, edges=edges):
+            odd = sum((p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for p, q in edges) % 2
+            on = any(
+                (x - p[0]) * (q[1] - p[1]) == (y - p[1]) * (q[0] - p[0]) and min(p[0], q[0]) <= x <= max(p[0], q[0]) and min(p[1], q[1]) <= y <= max(p[1], q[1])
+                for p, q in edges
+            )
+            return odd or on
+
+        want |= {(k, r, c) for r in range(24) for c in range(30) if holds(3 + (c + 0.5) * 1.5, 45 - (r + 0.5) * 1.25)}
+    df = spark.createDataFrame([(k, [[[{"x": x, "y": y} for x, y in ring] for ring in rings]]) for k, rings in enumerate(shapes)], f"z int, geom {geo.GEOMETRY}")
+    found = spatial.zone_cells(df.unionAll(df.where("z = 1")), grid, key="z").collect()
+    assert {(r.z, r.row, r.col) for r in found if not r.small} == want
+    assert len(found) == len({tuple(r) for r in found})
+    assert {r.z for r in found if r.small}.isdisjoint(z for z, _, _ in want)
+
+
+def test_a_square_gets_the_edges_that_a_ray_can_meet(spark):
+    steps = 200
+    ring = [{"x": 50 + 40 * np.cos(t), "y": 50 + 40 * np.sin(t)} for t in np.linspace(0, 2 * np.pi, steps + 1)]
+    ring[-1] = ring[0]
+    outline = spark.createDataFrame([(1, [[[{k: float(v) for k, v in p.items()} for p in ring]]])], f"z int, geom {geo.GEOMETRY}")
+    at = spark.createDataFrame([(i, float(i % 37) * 2.9, float(i % 41) * 2.6) for i in range(900)], "i int, x double, y double")
+    pairs = spatial.candidates(at, outline, 5.0)
+    assert pairs.agg({"__edges": "count"}).first()[0] > 500
+    assert max(len(r[0]) for r in pairs.select("__edges").collect()) < steps / 3
+    inside = {r.i for r in pairs.where(geo.within(F.col("__edges"), F.col("x"), F.col("y"))).collect()}
+    plain = at.crossJoin(outline.select(geo.edges("geom").alias("e"))).where(geo.within(F.col("e"), F.col("x"), F.col("y")))
+    assert inside == {r.i for r in plain.collect()}
+
+
+def test_bands_of_the_nearest_in_sight(spark):
+    df = cells(spark, np.arange(7.0).reshape(1, 7))
+    goal = spark.createDataFrame([(0, 0), (0, 6)], "row int, col int")
+    shut = spark.createDataFrame([(0, 1), (0, 5)], "row int, col int")
+    found = {r.col: (r.t_col, r.x, r.y, r.z) for r in nearest.nearest_feature_unblocked(df, goal, shut, grids.Grid(2.0, 10.0, -1.0, 0.0, 7, 1)).collect()}
+    assert found[1] == (0, 11.0, -0.5, 0.0) and found[5] == (6, 23.0, -0.5, 6.0) and found[3] == (None, None, None, None)

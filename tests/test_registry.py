@@ -8,7 +8,7 @@ import pytest
 
 from geoloom.plans import registry
 
-SLOW = {"logo_cv_forest", "gbt_cv", "random_search", "tile_features"}
+SLOW = {"logo_cv_forest", "gbt_cv", "random_search", "subset_search", "tile_features"}
 
 
 @pytest.fixture(scope="module")
