@@ -1,67 +1,16 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, seeded hashing, input checks."""
+"""Shared helpers: seeded hashing, input checks, checked broadcasts; scratch tables are the core's."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII white space of the text contracts, as a Java and Python regular expression class body.
-SPACE = r"\x20\x09-\x0D"
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode, where that is unset, a new one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = getattr(spark, "_geoloom_shared", None) or tempfile.mkdtemp(prefix="geoloom-")
-        spark._geoloom_shared = found
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Written tables that cut lineage and survive the loss of executors.
+from ..scratch import Scratch, shared_dir
 
-    Each call of an operator has a folder of its own under the shared folder. Tables that a result still reads stay
-    until the driver ends; ``drop`` frees the others earlier.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/geoloom-{label}-{uuid.uuid4().hex}"
-        atexit.register(self._delete, self.path)
-
-    def table(self, df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
-        at = f"{self.path}/{name}"
-        before = self.spark.conf.get(_CLEAN)
-        self.spark.conf.set(_CLEAN, "true")  # what was shuffled for a written table isn't needed again
-        try:
-            df.write.mode("overwrite").option("compression", codec).parquet(at)
-        finally:
-            self.spark.conf.set(_CLEAN, before)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.path}/{name}")
+__all__ = ["SPACE", "Scratch", "need", "shared_dir", "small_side", "unit_hash"]
 
-    def close(self) -> None:
-        """Delete all tables of this folder."""
-        self._delete(self.path)
-
-    def _delete(self, path: str) -> None:
-        try:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # the session may have ended before the interpreter does
-            pass
+#: ASCII white space of the text contracts, as a Java and Python regular expression class body.
+SPACE = r"\x20\x09-\x0D"
 
 
 def unit_hash(*cols: Column | str, seed: int) -> Column:
