@@ -206,7 +206,8 @@ def dissolved_members(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.clip_points(at, whole, point_key="c_custkey", size=20.0).select("c_custkey")
 
 
-@query("simplify")
+@query("simplify", "SELECT n_nationkey, CASE WHEN 2 * (n_nationkey % 7 + 4) / sqrt(10) > 4.5 THEN 9 ELSE 5 END AS vertices FROM nation")
 def simplify(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second corner is far from the line between its neighbours; the others are by 2 / sqrt(10) of the size."""
     found = spatial.simplified(polygons(spark, sf), 4.5)
     return found.select("n_nationkey", F.size(F.flatten(F.flatten("geom"))).alias("vertices"))

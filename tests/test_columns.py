@@ -105,3 +105,21 @@ def bresenham(r0, c0, r1, c1):
 def test_line(spark, ends):
     cells = one(spark, lines.line(*[F.lit(v) for v in ends]).alias("p")).p
     assert [(c.row, c.col) for c in cells] == bresenham(*ends)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from geoloom.scratch import shared_dir
+
+    def session(master, folder):
+        context = SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": folder})
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda _, other: other))
+
+    assert shared_dir(session("spark://there:7077", "/shared/")) == "/shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://there:7077", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("local-cluster[2,1,1024]", None))
+    near = session("local[4]", None)
+    assert shared_dir(near) == shared_dir(near)
