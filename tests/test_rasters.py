@@ -82,6 +82,40 @@ def test_unblocked_reaches_the_whole_raster(spark):
     assert len(found) == 300
 
 
+def test_unblocked_equals_brute_force(spark):
+    """Random barriers and targets, ties included; the way by squares and that by joined pairs alike, in several rounds."""
+    rng = np.random.default_rng(5)
+    kind = rng.choice(3, size=(23, 90), p=[0.78, 0.02, 0.2])
+    kind[4, 7], kind[11, :] = 1, np.where(np.arange(90) % 30 == 3, 0, 2)  # a row of barriers with gaps
+    goals = [tuple(map(int, p)) for p in np.argwhere(kind == 1)] + [(2, 2)]
+    walls = {tuple(map(int, p)) for p in np.argwhere(kind == 2)} | {(2, 2)}  # a target may lie on a barrier
+
+    def free(a, b):
+        (r0, c0), (r1, c1) = a, b
+        n, m, steep = max(abs(r1 - r0), abs(c1 - c0)), min(abs(r1 - r0), abs(c1 - c0)), abs(r1 - r0) > abs(c1 - c0)
+        sr, sc = (1 if r1 > r0 else -1), (1 if c1 > c0 else -1)
+        for k in range(n + 1):
+            minor = (2 * k * m + n - 1) // (2 * n)
+            if (r0 + sr * (k if steep else minor), c0 + sc * (minor if steep else k)) in walls:
+                return False
+        return True
+
+    want = {}
+    for cell in np.ndindex(kind.shape):
+        near = sorted(((r - cell[0]) ** 2 + (c - cell[1]) ** 2, r, c) for r, c in goals)
+        want[cell] = next(((r, c, d) for d, r, c in near if d == 0 or cell in walls or free(cell, (r, c))), (None, None, None))
+    df = cells(spark, kind.astype(float))
+    goal = spark.createDataFrame(goals, "row int, col int")
+    wall = spark.createDataFrame(sorted(walls), "row int, col int")
+    assert any(v[0] is None for v in want.values())
+    for options in ({}, {"first_radius": 4}, {"first_radius": 4, "widest": 8}):
+        found = {(r.row, r.col): (r.t_row, r.t_col, r.d2) for r in nearest.nearest_unblocked(df, goal, wall, **options).collect()}
+        assert found == want
+    none = nearest.nearest_unblocked(df.limit(5), goal.limit(0), wall).collect()
+    assert len(none) == 5 and all(r.t_row is None for r in none)
+    assert nearest.nearest_unblocked(df.limit(0), goal, wall).count() == 0
+
+
 def test_short_path_has_null_statistics(spark):
     df = cells(spark, HILLS)
     paths = spark.createDataFrame([(0, 0, 0, 2), (0, 0, 5, 9)], "row0 int, col0 int, row1 int, col1 int").withColumn("col0", F.col("col1") - F.col("col1"))
