@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import grid as grids
-from ..operators import focal, lines, mosaic, nearest, spatial
+from ..operators import focal, lines, mosaic, nearest, spatial, terrain
 from . import layers
 from .tables import BARRIERS, LATTICE, NEAREST, STATS, TARGETS, barriers, grid, lattice, line_sql, moments_sql, rounded, table, targets
 
@@ -335,8 +335,50 @@ def _one_layer(name: str):
     return run
 
 
+#: The kernel layers in SQL, tile by tile: smoothing, the lowest way out to an edge or to nodata, and the eight neighbours.
+_TILES = f"""WITH RECURSIVE {LATTICE}, cells AS MATERIALIZED (
+      SELECT tr, tc, r, c, r // 50 = tr AND c // 50 = tc AS core, v / 10 + r AS v FROM lattice
+      JOIN (SELECT DISTINCT r // 50 AS tr FROM lattice) ON r BETWEEN tr * 50 - 10 AND tr * 50 + 59
+      JOIN (SELECT DISTINCT c // 50 AS tc FROM lattice) ON c BETWEEN tc * 50 - 10 AND tc * 50 + 59),
+    taps AS (SELECT a.k AS dr, b.k AS dc, exp(-(a.k * a.k + b.k * b.k) / 2.0) AS w FROM (SELECT unnest(range(-3, 4)) AS k) a, (SELECT unnest(range(-3, 4)) AS k) b),
+    smooth AS MATERIALIZED (
+      SELECT a.tr, a.tc, a.r, a.c, a.core, sum(t.w * b.v) / sum(t.w) AS z FROM cells a CROSS JOIN taps t
+      JOIN cells b ON b.tr = a.tr AND b.tc = a.tc AND b.r = a.r + t.dr AND b.c = a.c + t.dc WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL),
+    eight AS (SELECT * FROM (VALUES {", ".join(f"({k}, {dr}, {dc}, {(dr * dr + dc * dc) ** 0.5!r})" for k, (dr, dc) in enumerate(terrain.EIGHT))}) AS e(k, dr, dc, far)),
+    outlets AS MATERIALIZED (
+      SELECT a.tr, a.tc, a.r, a.c, any_value(a.z) AS w FROM smooth a CROSS JOIN eight e
+      LEFT JOIN smooth b ON b.tr = a.tr AND b.tc = a.tc AND b.r = a.r + e.dr AND b.c = a.c + e.dc
+      GROUP BY a.tr, a.tc, a.r, a.c HAVING count(b.z) < 8),
+    flood(tr, tc, r, c, w) USING KEY (tr, tc, r, c) AS (
+      SELECT * FROM outlets
+      UNION
+      SELECT b.tr, b.tc, b.r, b.c, min(greatest(b.z, f.w)) FROM flood f CROSS JOIN eight e
+      JOIN smooth b ON b.tr = f.tr AND b.tc = f.tc AND b.r = f.r + e.dr AND b.c = f.c + e.dc
+      LEFT JOIN recurring.flood g ON g.tr = b.tr AND g.tc = b.tc AND g.r = b.r AND g.c = b.c
+      WHERE g.w IS NULL OR greatest(b.z, f.w) < g.w GROUP BY b.tr, b.tc, b.r, b.c),
+    filled AS MATERIALIZED (SELECT tr, tc, r, c, w AS z FROM flood)"""
+_CORE = "FROM cells s LEFT JOIN {0} f ON f.tr = s.tr AND f.tc = s.tc AND f.r = s.r AND f.c = s.c WHERE s.core"
+_KERNEL_SQL = {
+    "fill_depressions": f'{_TILES} SELECT s.r AS "row", s.c AS col, round(f.z + 1e-7, 4) AS dem_cond {_CORE.format("filled")}',
+    "d8_accumulation": f"""{_TILES}, ways AS MATERIALIZED (
+      SELECT a.tr, a.tc, a.r, a.c, arg_min(a.r + e.dr, struct_pack(d := (b.z - a.z) / e.far, k := e.k)) AS r1, arg_min(a.c + e.dc, struct_pack(d := (b.z - a.z) / e.far, k := e.k)) AS c1
+      FROM filled a CROSS JOIN eight e JOIN filled b ON b.tr = a.tr AND b.tc = a.tc AND b.r = a.r + e.dr AND b.c = a.c + e.dc WHERE b.z < a.z GROUP BY a.tr, a.tc, a.r, a.c),
+    walk AS (SELECT tr, tc, r, c FROM filled UNION ALL SELECT w.tr, w.tc, y.r1, y.c1 FROM walk w JOIN ways y ON y.tr = w.tr AND y.tc = w.tc AND y.r = w.r AND y.c = w.c),
+    passed AS (SELECT tr, tc, r, c, CAST(count(*) AS DOUBLE) AS n FROM walk GROUP BY ALL)
+    SELECT s.r AS "row", s.c AS col, f.n AS flow_accum {_CORE.format("passed")}""",
+    "geomorphons": f"""{_TILES}, sight AS (
+      SELECT a.tr, a.tc, a.r, a.c, e.k, max(degrees(atan((b.z - a.z) / (s * e.far * 30)))) AS most, min(degrees(atan((b.z - a.z) / (s * e.far * 30)))) AS least
+      FROM filled a CROSS JOIN eight e CROSS JOIN (SELECT unnest(range(1, 11)) AS s)
+      JOIN filled b ON b.tr = a.tr AND b.tc = a.tc AND b.r = a.r + s * e.dr AND b.c = a.c + s * e.dc GROUP BY ALL),
+    marks AS (SELECT tr, tc, r, c, count(*) FILTER ((90 + least) - (90 - most) > 1) AS higher, count(*) FILTER ((90 - most) - (90 + least) > 1) AS lower FROM sight GROUP BY ALL),
+    forms AS (SELECT * FROM (VALUES {", ".join(f"({low}, {high}, {form})" for low, line in enumerate(terrain.FORMS) for high, form in enumerate(line))}) AS x(low, high, form)),
+    named AS (SELECT a.tr, a.tc, a.r, a.c, CAST(x.form AS DOUBLE) AS form FROM filled a LEFT JOIN marks m ON m.tr = a.tr AND m.tc = a.tc AND m.r = a.r AND m.c = a.c
+      JOIN forms x ON x.low = coalesce(m.lower, 0) AND x.high = coalesce(m.higher, 0))
+    SELECT s.r AS "row", s.c AS col, f.form AS geomorphons {_CORE.format("named")}""",
+}
+
 for _name, _layer in (("fill_depressions", "dem_cond"), ("d8_accumulation", "flow_accum"), ("geomorphons", "geomorphons"), ("ridges", "ridges")):
-    QUERIES[_name] = _one_layer(_layer)
+    query(_name, _KERNEL_SQL.get(_name))(_one_layer(_layer))
 
 
 @query("tile_features")
