@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections.abc import Callable, Iterable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,18 @@ from pyspark.sql import functions as F
 FOREST = {"numTrees": 50, "minInstancesPerNode": 4, "maxDepth": 12, "bootstrap": False, "featureSubsetStrategy": "all", "seed": 42}
 
 
+def _each(spark: SparkSession, work: Callable, items: Iterable, parallelism: int) -> list:
+    """The results of ``work`` in the items' order, with up to ``parallelism`` of them submitted to the cluster at once."""
+    items = list(items)
+    if not items:
+        return []
+    pool = ThreadPool(max(1, min(parallelism, len(items))))
+    try:
+        return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
+    finally:
+        pool.close()
+
+
 def regressor(kind: str, label: str, **settings):
     if kind == "forest":
         return RandomForestRegressor(labelCol=label, featuresCol="__x", **(FOREST | settings))
@@ -31,11 +46,11 @@ def standardized(rows: DataFrame, columns: list[str], fitted_to: DataFrame | Non
     return rows.withColumns({c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in columns})
 
 
-def cross_validate(rows: DataFrame, features: list[str], *, label: str, group: str, kind: str = "forest", scale: str = "none", **settings) -> tuple[DataFrame, DataFrame]:
+def cross_validate(rows: DataFrame, features: list[str], *, label: str, group: str, kind: str = "forest", scale: str = "none", parallelism: int = 4, **settings) -> tuple[DataFrame, DataFrame]:
     """Leave one group out: rows with ``prediction``, and the importances averaged over folds.
 
     ``scale`` is 'none', 'fold' (fitted to each fold's training rows) or 'all' (to all rows, as first published). Rows
-    with NULLs among features, label and group are dropped.
+    with NULLs among features, label and group are dropped. Up to ``parallelism`` folds are fitted at once.
     """
     rows = rows.na.drop(how="any", subset=[*features, label, group])
     if scale == "all":
@@ -43,15 +58,21 @@ def cross_validate(rows: DataFrame, features: list[str], *, label: str, group: s
     rows = rows.cache()
     try:
         groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]  # a model is fitted for each
-        parts, weights = [], []
-        for g in groups:
+
+        if not groups:
+            raise ValueError("no complete row to fit to")
+
+        def fold(g) -> tuple[DataFrame, list]:
             train, test = rows.where(F.col(group) != F.lit(g)), rows.where(F.col(group) == F.lit(g))
             if scale == "fold":
                 train, test = standardized(train, features), standardized(test, features, fitted_to=train)
             into = VectorAssembler(inputCols=features, outputCol="__x")
             model = regressor(kind, label, **settings).fit(into.transform(train))
-            parts.append(model.transform(into.transform(test)).drop("__x"))
-            weights += [(str(g), f, float(w)) for f, w in zip(features, model.featureImportances.toArray(), strict=True)]
+            weights = [(str(g), f, float(w)) for f, w in zip(features, model.featureImportances.toArray(), strict=True)]
+            return model.transform(into.transform(test)).drop("__x"), weights
+
+        parts, weights = zip(*_each(rows.sparkSession, fold, groups, parallelism), strict=True)
+        weights = [w for of_fold in weights for w in of_fold]
         found = rows.sparkSession.createDataFrame(weights, "fold string, feature string, importance double")
         return reduce(DataFrame.unionByName, parts), average_importance(found)
     finally:
@@ -82,19 +103,22 @@ def draws(grid: dict[str, list], n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def random_search(rows: DataFrame, features: list[str], *, label: str, grid: dict[str, list], n: int = 100, seed: int = 42, kind: str = "forest", folds: int = 3) -> DataFrame:
-    """Settings with their mean squared error over hashed folds, best first."""
+def random_search(rows: DataFrame, features: list[str], *, label: str, grid: dict[str, list], n: int = 100, seed: int = 42, kind: str = "forest", folds: int = 3, parallelism: int = 4) -> DataFrame:
+    """Settings with their mean squared error over hashed folds, best first; up to ``parallelism`` are fitted at once."""
     rows = VectorAssembler(inputCols=features, outputCol="__x").transform(rows.na.drop(how="any", subset=[*features, label]))
     rows = rows.select(label, "__x", F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(folds)).alias("__fold")).cache()
     score = RegressionEvaluator(labelCol=label, metricName="mse")
     try:
-        found = []
-        for k, setting in enumerate(draws(grid, n, seed)):
+
+        def tried(draw: tuple[int, dict]) -> tuple[int, str, float]:
+            k, setting = draw
             errors = []
             for f in range(folds):
                 model = regressor(kind, label, **setting).fit(rows.where(F.col("__fold") != f))
                 errors.append(score.evaluate(model.transform(rows.where(F.col("__fold") == f))))
-            found.append((k, str(sorted(setting.items())), sum(errors) / folds))
+            return k, str(sorted(setting.items())), sum(errors) / folds
+
+        found = _each(rows.sparkSession, tried, enumerate(draws(grid, n, seed)), parallelism)
         return rows.sparkSession.createDataFrame(found, "draw int, setting string, mse double").orderBy("mse", "draw")
     finally:
         rows.unpersist()
@@ -106,13 +130,17 @@ def feature_subsets(spark: SparkSession, features: list[str], least: int = 6) ->
     return spark.createDataFrame([(i, len(c), list(c)) for i, c in enumerate(sets)], "subset int, size int, names array<string>")
 
 
-def subset_search(rows: DataFrame, features: list[str], *, label: str, group: str, least: int = 6, **settings) -> DataFrame:
-    """RMSE in per cent and correlation of every feature subset under grouped cross-validation."""
-    spark, out = rows.sparkSession, []
-    for r in feature_subsets(spark, features, least).collect():  # a model is fitted for each
-        predicted, _ = cross_validate(rows, list(r["names"]), label=label, group=group, **settings)
+def subset_search(rows: DataFrame, features: list[str], *, label: str, group: str, least: int = 6, parallelism: int = 4, **settings) -> DataFrame:
+    """RMSE in per cent and correlation of every feature subset under grouped cross-validation; up to ``parallelism``
+    subsets are tried at once."""
+    spark = rows.sparkSession
+
+    def tried(subset) -> tuple[int, list[str], float, float]:
+        predicted, _ = cross_validate(rows, list(subset["names"]), label=label, group=group, parallelism=1, **settings)
         e = errors(predicted, label=label).first()
-        out.append((r["subset"], list(r["names"]), e["rmse_pct"], e["corr"]))
+        return subset["subset"], list(subset["names"]), e["rmse_pct"], e["corr"]
+
+    out = _each(spark, tried, feature_subsets(spark, features, least).collect(), parallelism)  # a model is fitted for each
     return spark.createDataFrame(out, "subset int, names array<string>, rmse_pct double, corr double").orderBy("rmse_pct", "subset")
 
 

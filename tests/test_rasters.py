@@ -209,6 +209,14 @@ def test_sources_and_sinks(spark, tmp_path):
         z.writestr("n01e001.hgt", np.array([1, 2, -32768, 4], ">i2").tobytes())
     assert [r.v for r in readers.elevation_zips(spark, str(tmp_path)).orderBy("row", "col").collect()] == [1.0, 2.0, None, 4.0]
     assert readers.listing(spark, str(tmp_path), "*.zip").count() == 1
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "odd.zip", "w") as z:
+        z.writestr("n.hgt", np.zeros(5, ">i2").tobytes())
+    found = readers.elevation_zips(spark, str(tmp_path), keep_errors=True)
+    assert sorted((r.file.split("/")[-1], r.error.split(":")[0], r.row) for r in found.where("error IS NOT NULL").collect()) == [("bad.zip", "BadZipFile", None), ("odd.zip", "ValueError", None)]
+    assert [r.v for r in readers.without_errors(found).orderBy("row", "col").collect()] == [1.0, 2.0, None, 4.0]
+    with pytest.raises(Exception, match="bad.zip|odd.zip"):
+        readers.elevation_zips(spark, str(tmp_path)).count()
     assert readers.listing(spark, str(tmp_path / "none")).count() == 0
 
 
