@@ -72,6 +72,13 @@ def test_nearest_equals_brute_force_without_frames_that_end_with_the_column(spar
         assert found == {(r, c): min((((i - r) * sy) ** 2 + ((j - c) * sx) ** 2, i, j) for i, j in goals.tolist()) for r in range(150) for c in range(9)}
 
 
+def test_nearest_feature_has_no_frame_that_ends_with_the_column(spark):
+    df, at = cells(spark, np.arange(280.0).reshape(70, 4)), spark.createDataFrame([(1, 2), (66, 0)], "row int, col int")
+    found = nearest.nearest_feature(df, at, grids.Grid(1.0, 0.0, -1.0, 0.0, 4, 70))
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert {(r.row, r.col, r.z) for r in found.collect()} == {(r, c, min(((r - i) ** 2 + (c - j) ** 2, i, i * 4.0 + j) for i, j in ((1, 2), (66, 0)))[2]) for r in range(70) for c in range(4)}
+
+
 def test_unblocked(spark):
     df = cells(spark, np.zeros((1, 7)))
     goal = spark.createDataFrame([(0, 0), (0, 6)], "row int, col int")
