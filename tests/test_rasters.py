@@ -79,6 +79,14 @@ def test_nearest_feature_has_no_frame_that_ends_with_the_column(spark):
     assert {(r.row, r.col, r.z) for r in found.collect()} == {(r, c, min(((r - i) ** 2 + (c - j) ** 2, i, i * 4.0 + j) for i, j in ((1, 2), (66, 0)))[2]) for r in range(70) for c in range(4)}
 
 
+def test_fill_has_no_frame_that_ends_with_the_column(spark):
+    a = np.full((70, 3), np.nan)
+    a[0, 1], a[69, 1] = 5.0, 9.0
+    found = nearest.fill_from_nearest(cells(spark, a))
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert {(r.row, r.col): r.v for r in found.collect()} == {(r, c): 5.0 if r < 35 else 9.0 for r in range(70) for c in range(3)}
+
+
 def test_unblocked(spark):
     df = cells(spark, np.zeros((1, 7)))
     goal = spark.createDataFrame([(0, 0), (0, 6)], "row int, col int")
