@@ -295,11 +295,13 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
 
     cells = lattice(spark, sf).select("row", "col", "v", "value", "event_type")
     g = grid(cells)
+    obs = table(spark, sf, "customer").select("c_custkey", (F.lit(1000.0) + (F.col("c_custkey") % 100) * 30.0 + 15).alias("x"), (F.lit(50000.0) - (F.col("c_custkey") % 10) * 30.0 - 15).alias("y"))
+    row, col = g.cell(F.col("x"), F.col("y"))
     near = nearest.nearest_feature(cells, targets(cells), g, value="value")
+    near = near.join(obs.select(row.alias("row"), col.alias("col")).distinct(), ["row", "col"], "left_semi")  # only points have paths
     paths = near.select(F.col("row").alias("row0"), F.col("col").alias("col0"), F.col("t_row").alias("row1"), F.col("t_col").alias("col1"))
     grad = lines.path_stats(paths, cells).select(F.col("row0").alias("row"), F.col("col0").alias("col"), F.col("mean").alias("v"))
     small = focal.square_stats(cells, 7).select("row", "col", F.col("mean").alias("v"))
-    obs = table(spark, sf, "customer").select("c_custkey", (F.lit(1000.0) + (F.col("c_custkey") % 100) * 30.0 + 15).alias("x"), (F.lit(50000.0) - (F.col("c_custkey") % 10) * 30.0 - 15).alias("y"))
     layers = {"z": cells.select("row", "col", "v"), "short_mean": small, "stream_mean": grad}
     layers |= {f"stream_{k}": near.select("row", "col", F.col(k).alias("v")) for k in ("x", "y", "z")}
     out = spatial.sample_points(obs, layers, g, key="c_custkey")

@@ -44,3 +44,14 @@ def test_same_as_sql(spark, small, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - SLOW))
 def test_runs(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() > 0
+
+
+@pytest.mark.parametrize("name", ["feature_table"])
+def test_no_frame_ends_with_the_column(spark, small, name):
+    """Such a frame is summed anew for every row: time grows with the square of the raster's rows."""
+    assert "unboundedfollowing" not in registry.QUERIES[name](spark, small)._jdf.queryExecution().toString().lower()
+
+
+def test_only_points_have_paths(spark, small):
+    plan = registry.QUERIES["feature_table"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
