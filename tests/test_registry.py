@@ -46,7 +46,7 @@ def test_runs(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() > 0
 
 
-@pytest.mark.parametrize("name", ["feature_table"])
+@pytest.mark.parametrize("name", ["feature_table", "stream_path_stats"])
 def test_no_frame_ends_with_the_column(spark, small, name):
     """Such a frame is summed anew for every row: time grows with the square of the raster's rows."""
     assert "unboundedfollowing" not in registry.QUERIES[name](spark, small)._jdf.queryExecution().toString().lower()
