@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch, shared_dir
+from ..scratch import Scratch, release, shared_dir
 
-__all__ = ["SPACE", "Scratch", "need", "shared_dir", "small_side", "unit_hash"]
+__all__ = ["SPACE", "Scratch", "need", "release", "shared_dir", "small_side", "unit_hash"]
 
 #: ASCII white space of the text contracts, as a Java and Python regular expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -27,7 +27,8 @@ def need(df: DataFrame, *names: str) -> None:
 def small_side(df: DataFrame, most: int = 16 << 20) -> DataFrame:
     """A written table, marked for broadcast if its rows take at most ``most`` bytes in memory; else left to a shuffled join.
 
-    Rows are counted; strings, binaries and arrays are measured.
+    Rows are counted; strings, binaries and arrays are measured. Before a broadcast of some size the driver frees what
+    earlier ones left, so that dead tables and buffers don't add up there.
     """
     wide = F.lit(16 + 8 * len(df.columns))
     for field in df.schema:
@@ -39,4 +40,8 @@ def small_side(df: DataFrame, most: int = 16 << 20) -> DataFrame:
         elif kind in ("map", "struct"):
             return df
     size = df.agg(F.sum(wide)).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+    if size > most:
+        return df
+    if size > most >> 4:
+        release(df.sparkSession)
+    return F.broadcast(df)

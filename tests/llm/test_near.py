@@ -228,3 +228,16 @@ def test_ids_do_not_hang_on_splits(spark, small):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.files.openCostInBytes")
     assert any(n for _, n in first)
+
+
+def test_a_broadcast_does_not_add_to_dead_ones(spark):
+    """The driver drops ended broadcasts only when its garbage is collected; its heap must not grow by them till then."""
+    from geoloom.llm.common import small_side
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: max(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    before = full()
+    assert small_side(spark.range(10)).count() == 10 and full() == before
+    large = small_side(spark.range(200_000))
+    assert full() == before + 1 and "broadcast" in large._jdf.queryExecution().logical().toString().lower()
+    assert small_side(spark.range(2_000_000)).count() == 2_000_000
