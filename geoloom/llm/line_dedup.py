@@ -34,10 +34,14 @@ def _signatures(lines: DataFrame, width: int, seed: int) -> DataFrame:
     half = _BINS // 4
     wide = lines.select("doc", "h1", "h2", F.encode("norm", "UTF-16BE").alias("wide"))
     wide = wide.withColumn("last", F.greatest(F.expr(f"length(wide) div 2 - {width}").cast("int"), F.lit(0)))
-    each = wide.select("doc", "h1", "h2", "wide", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    each = each.select("doc", "h1", "h2", "i", F.expr(f"shiftrightunsigned(xxhash64(substring(wide, 2 * i + 1, {2 * width}), {seed}), 32)").alias("x"))
-    each = each.select("doc", "h1", "h2", "i", "x", F.expr(f"shiftrightunsigned(x, {33 - _BINS.bit_length()})").alias("bin"))
-    low = [F.expr(f"min(x) FILTER (WHERE bin = {j})").alias(f"m{j}") for j in range(_BINS)]
+    each = wide.select("doc", "h1", "h2", "wide", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(_AT_ONCE))).alias("i"))
+    at_once = range(_AT_ONCE)  # the last shingle stands in for those beyond it: minima don't change
+    hashed = "shiftrightunsigned(xxhash64(substring(wide, 2 * least(i + {k}, last) + 1, {wide}), {seed}), 32)"
+    each = each.select("doc", "h1", "h2", "i", *[F.expr(hashed.format(k=k, wide=2 * width, seed=seed)).alias(f"x{k}") for k in at_once])
+    each = each.withColumns({f"bin{k}": F.expr(f"CAST(shiftrightunsigned(x{k}, {33 - _BINS.bit_length()}) AS INT)") for k in at_once})
+    each = each.withColumn("hit", reduce(lambda a, b: a.bitwiseOR(b), [F.expr(f"shiftleft(1, bin{k})") for k in at_once]))
+    least = "least({})".format(", ".join(f"IF(bin{k} = {{j}}, x{k}, {1 << 32}L)" for k in at_once))
+    low = [F.expr(f"min({least.format(j=j)}) FILTER (WHERE (hit & shiftleft(1, {j})) <> 0)").alias(f"m{j}") for j in range(_BINS)]
     found = each.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.expr("count(*) FILTER (WHERE i = 0)").alias("times"), *low)
 
     def pair(g: int) -> Column:
@@ -52,7 +56,7 @@ def _signatures(lines: DataFrame, width: int, seed: int) -> DataFrame:
     return found.select(number.alias("id"), "h1", "h2", "doc", "times", keys.alias("keys"))
 
 
-def _shingle_set(wide: str, width: int) -> Column:
+def _shingle_set(wide: Column, width: int) -> Column:
     """Distinct 64-bit hashes of a line's shingles, from its UTF-16 bytes.
 
     The outer lambda binds the bytes once: named inside the inner one, the column would be copied for every shingle.
@@ -70,9 +74,10 @@ def _compared(pairs: DataFrame, texts: DataFrame, leads: DataFrame, width: int)
 
     A lead's set is taken once, not once for each of its lines.
     """
-    led = leads.select(F.col("id").alias("lead"), _shingle_set("wide", width).alias("led"))
-    both = pairs.join(texts.select("id", "wide"), "id").join(led, "lead")
-    both = both.select("lead", "id", "crowded", "led", _shingle_set("wide", width).alias("own"))
+    wide = F.encode("norm", "UTF-16BE")
+    led = leads.select(F.col("id").alias("lead"), _shingle_set(wide, width).alias("led"))
+    both = pairs.join(texts.select("id", "norm"), "id").join(led, "lead")
+    both = both.select("lead", "id", "crowded", "led", _shingle_set(wide, width).alias("own"))
     return both.select(
         "lead", "id", "crowded", F.size("led").alias("n_lead"), F.size("own").alias("n_own"), F.size(F.array_intersect("led", "own")).alias("shared"),
         F.when(F.col("crowded"), F.array_except("led", "own")).alias("m"), F.when(F.col("crowded"), F.array_except("own", "led")).alias("e"),
@@ -86,6 +91,8 @@ def _alike(sizes: DataFrame, similar: float) -> DataFrame:
 
 
 _BINS = 32
+#: So many shingles of a line are hashed in a row, which then looks up the line's minima and asks for its bins once.
+_AT_ONCE = 4
 #: Buckets of this many lines or more are compared by what sets their lines apart from the bucket's lead.
 _CROWD = 6
 _WORDS = 8
@@ -180,7 +187,7 @@ def dropped_lines(
     wanted = small_side(work.table(wanted.groupBy("id").agg(F.max("leads").alias("leads")), "wanted"))
     wanted = small_side(work.table(known.select("id", "h1", "h2", "doc").join(wanted, "id"), "located"))
     texts = lines.select("doc", "h1", "h2", "norm").join(wanted, ["doc", "h1", "h2"]).dropDuplicates(["id"])
-    texts = work.table(texts.select("id", "leads", F.encode("norm", "UTF-16BE").alias("wide")), "texts")
+    texts = work.table(texts.select("id", "leads", "norm"), "texts", codec="lz4")
 
     sizes = work.table(_compared(pairs, texts, texts.where("leads"), width), "sizes")
     links = _alike(sizes, similar)

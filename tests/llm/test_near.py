@@ -230,6 +230,19 @@ def test_ids_do_not_hang_on_splits(spark, small):
     assert any(n for _, n in first)
 
 
+def test_signatures_do_not_hang_on_shingles_hashed_at_once(spark, monkeypatch):
+    """Lines of fewer shingles than that, of one, and with characters beyond the first plane among them."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcd \U0001f600\u00e9") for _ in range(n)) for n in (*range(1, 30), 90, 400)]
+    lines = line_dedup._lines(spark.createDataFrame(list(enumerate([*texts, *texts[:5]])), "doc_id long, text string"), "doc_id", "text")
+    found = []
+    for at_once in (2, 4, 7):
+        monkeypatch.setattr(line_dedup, "_AT_ONCE", at_once)
+        signed = line_dedup._signatures(lines, 8, 9).drop("id")
+        found.append(sorted(map(tuple, (r.asDict().values() for r in signed.withColumn("keys", signed["keys"].cast("string")).collect()))))
+    assert len(found[0]) > 25 and found[0] == found[1] == found[2]
+
+
 def test_a_broadcast_does_not_add_to_dead_ones(spark):
     """The driver drops ended broadcasts only when its garbage is collected; its heap must not grow by them till then."""
     from geoloom.llm.common import small_side
