@@ -175,13 +175,13 @@ def train(
     return Model(Lexicon(*lexicons[folds]), Boosted().fit(x, y), Isotonic().fit(margin, y))
 
 
-def _lexicons(rows: DataFrame, folds: int, most: int) -> list[tuple[dict[str, float], dict[str, float]]]:
-    """(words, stems) with their log-odds, without each fold in turn and last with all of them."""
-
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+def _terms(batches: Iterator[pd.DataFrame], at_once: int = 64) -> Iterator[pd.DataFrame]:
+    """(kind, term, y, fold) for the distinct words and word beginnings of each row: hundreds a row, so ``at_once`` rows at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), at_once):
             kind, term, y, fold = [], [], [], []
-            for text, label, f in zip(batch["text"], batch["y"], batch["fold"], strict=True):
+            part = batch.iloc[start : start + at_once]
+            for text, label, f in zip(part["text"], part["y"], part["fold"], strict=True):
                 seen = set(words_of(text))
                 for k, group in enumerate((seen, {w[:_STEM] for w in seen if len(w) >= _STEM})):
                     kind.extend([k] * len(group))
@@ -190,12 +190,16 @@ def _lexicons(rows: DataFrame, folds: int, most: int) -> list[tuple[dict[str, fl
                     fold.extend([f] * len(group))
             yield pd.DataFrame({"kind": kind, "term": term, "y": y, "fold": fold})
 
+
+def _lexicons(rows: DataFrame, folds: int, most: int) -> list[tuple[dict[str, float], dict[str, float]]]:
+    """(words, stems) with their log-odds, without each fold in turn and last with all of them."""
+
     sums = [F.sum(F.when((F.col("y") == v) & (F.col("fold") == f), 1).otherwise(0)).alias(f"n{v}_{f}") for v in (0, 1) for f in range(folds)]
     pairs = [F.sum(F.when((F.col("y") == v) & (F.col("fold") == f), 1).otherwise(0)).alias(f"a{v}_{f}") for v in (0, 1) for f in range(folds)]
     all_rows = rows.agg(*pairs).first()
     total = {(v, f): all_rows[f"a{v}_{f}"] or 0 for v in (0, 1) for f in range(folds)}
     rate = (sum(total[1, f] for f in range(folds)) + 1) / (sum(total.values()) + 2)
-    counted = rows.select("text", "y", "fold").mapInPandas(terms, "kind int, term string, y int, fold int").groupBy("kind", "term").agg(*sums)
+    counted = rows.select("text", "y", "fold").mapInPandas(_terms, "kind int, term string, y int, fold int").groupBy("kind", "term").agg(*sums)
     toxic = sum((F.col(f"n1_{f}") for f in range(folds)), F.lit(0))
     clean = sum((F.col(f"n0_{f}") for f in range(folds)), F.lit(0))
     lift = F.abs(F.log((toxic + rate * 4) / (clean + (1 - rate) * 4) * ((1 - rate) / rate))) * F.sqrt(toxic + clean)

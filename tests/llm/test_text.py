@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
@@ -321,6 +322,18 @@ def test_toxicity_learns_and_never_sees_held_out_labels(spark):
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in found.values())
 
 
+def test_toxicity_counts_terms_a_few_rows_at_a_time(spark, monkeypatch):
+    """What a worker makes of a batch at once doesn't grow with the batch."""
+    texts = [" ".join(f"wordnumber{(k * 37 + i) % 900}" for i in range(100)) for k in range(2000)]
+    batch = pd.DataFrame({"text": texts, "y": [k % 2 for k in range(2000)], "fold": [k % 4 for k in range(2000)]})
+    frame, ran = spark.createDataFrame(batch.head(8)), []
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda self, f, *a, g=type(frame).mapInPandas, **b: (ran.append(f), g(self, f, *a, **b))[1])
+    toxicity._lexicons(frame, 4, 100)
+    sizes = [len(out) for out in ran[0](iter([batch]))]
+    assert sum(sizes) == sum(len(set(t.split())) + 1 for t in texts)  # all begin alike
+    assert max(sizes) <= 0.05 * sum(sizes)
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (4, 0), (None, 1)], "doc_id bigint, toxic int")
     found = toxicity.toxicity(odd, labels).collect()
