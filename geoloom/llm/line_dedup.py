@@ -11,12 +11,21 @@ from .common import Scratch, need, small_side
 from .components import connected_components
 
 
+_BLANK = " \t\r\u000b\u000c"
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, pos, norm, h1, h2) of every line with a word: norm is trimmed and lower-cased; h1, h2 are its identity."""
+    """(doc, th, pos, norm, h1, h2) of every line with a word: norm is trimmed and lower-cased; h1, h2 are its identity.
+
+    Lines without a word leave before the norm is made: a filter on the norm would be pushed below it and make it twice.
+    Trimming a set of characters looks at the whole line, so only lines that one of them begins or ends are trimmed.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     rows = rows.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("norm", F.lower(F.trim("line", F.lit(" \t\r\u000b\u000c")))).drop("line").where("norm <> ''")
+    rows = rows.where(F.ltrim("line", F.lit(_BLANK)) != "")
+    edged = reduce(lambda a, b: a | b, [F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c)) for c in _BLANK])
+    rows = rows.withColumn("norm", F.lower(F.when(edged, F.trim("line", F.lit(_BLANK))).otherwise(F.col("line")))).drop("line")
     return rows.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(3), F.col("norm"))})
 
 
@@ -48,9 +57,11 @@ def _signatures(lines: DataFrame, width: int, seed: int) -> DataFrame:
         a, b = F.col(f"m{2 * g}"), F.col(f"m{2 * g + 1}")
         return F.when(a.isNotNull() | b.isNotNull(), F.xxhash64(F.coalesce(a, b), F.coalesce(b, a)))
 
-    found = found.select("h1", "h2", "doc", "times", F.array(*[pair(g) for g in range(2 * half)]).alias("own"))
+    full = reduce(lambda a, b: a & b, [F.col(f"m{2 * g}").isNotNull() | F.col(f"m{2 * g + 1}").isNotNull() for g in range(2 * half)])
+    found = found.select("h1", "h2", "doc", "times", full.alias("full"), F.array(*[pair(g) for g in range(2 * half)]).alias("own"))
     nearest = lambda g: F.coalesce(*[F.get("own", g.bitwiseXOR(F.lit(k))) for k in range(2 * half)])
-    found = found.withColumn("q", F.transform(F.sequence(F.lit(0), F.lit(2 * half - 1)), nearest))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(2 * half - 1)), nearest)
+    found = found.withColumn("q", F.when(F.col("full"), F.col("own")).otherwise(filled))
     keys = F.array(*[F.xxhash64(F.get("q", F.lit(g)), F.get("q", F.lit(g + half)), F.lit(g)) for g in range(half)])
     number = (F.lit(255) - F.least("times", F.lit(255))) * F.lit(1 << 55) + F.monotonically_increasing_id()
     return found.select(number.alias("id"), "h1", "h2", "doc", "times", keys.alias("keys"))
@@ -237,7 +248,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rest = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__l_dropped", i))
     return joined.withColumns(
         {
-            "n_lines": F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))),
+            "n_lines": F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1),
             "n_dropped": F.coalesce(F.size("__l_dropped"), F.lit(0)),
             text_col: F.when(F.col("__l_dropped").isNull(), text).otherwise(F.array_join(rest, "\n")),
         }

@@ -152,6 +152,17 @@ def test_crowded_buckets_lose_nothing(spark, monkeypatch):
     assert few == dropped()
 
 
+def test_line_dedup_makes_each_line_once(spark):
+    """A filter on the trimmed and lower-cased line made it a second time."""
+    texts = ["\t A b \x0b\n\r \n\nX\x0c", "\u00a0É\n x\ty \n", "one", "", None, "\n", "ΟΔΟΣ \r\nend"]
+    lines = line_dedup._lines(spark.createDataFrame(rows(texts), DOCS), "doc_id", "text")
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    norms = [(k, pos, x.strip(" \t\r\x0b\x0c").lower()) for k, t in enumerate(texts, 1) if t for pos, x in enumerate(t.split("\n"))]
+    assert sorted((r.doc, r.pos, r.norm) for r in lines.collect()) == sorted(n for n in norms if n[2])
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows(texts), DOCS)).collect()
+    assert sorted((r.doc_id, r.n_lines) for r in found) == [(k, 0 if t is None else len(t.split("\n"))) for k, t in enumerate(texts, 1)]
+
+
 def test_lines_odd_rows(odd, empty):
     found = line_dedup.dedup_lines(odd)
     assert set(odd.columns) | {"n_lines", "n_dropped"} == set(found.columns)
